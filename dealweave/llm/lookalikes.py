@@ -92,31 +92,44 @@ for _other, _latin in _LIKE_LATIN:
 def readings(token: str, main: str) -> list[str]:
     """Single-script readings of a token whose letters are not all of one script, or of another than the text's ``main``.
 
-    Most frequent script of the token first, then the others, then the script of the text; none for a clean token.
+    Most frequent script of the token first (of equally frequent ones the text's), then the others, then the script of the
+    text; none for a clean token.
     """
     counts = Counter(s for c in unicodedata.normalize("NFD", token) if (s := script(c)))
     if not counts or (len(counts) == 1 and main in counts):
         return []
     out = []
-    for s in dict.fromkeys([*(s for s, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))), main]):
+    for s in dict.fromkeys([*(s for s, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0] != main, x[0]))), main]):
         if s in _TABLES and (r := _swap(token, _TABLES[s], s)) is not None and r != token and r not in out:
             out.append(r)
     return out
 
 
+def home_reading(token: str, main: str) -> str | None:
+    """The token in the script of its text, if it can be read so."""
+    return _swap(token, _TABLES[main], main) if main in _TABLES else None
+
+
+_NO_LATIN = dict.fromkeys(map(ord, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
 def main_script(text: str) -> str:
-    """The script that most letters of a text are of."""
+    """The script that most letters of a text are of; Latin if it has none."""
     if text.isascii():
         return "LATIN"
-    foreign = Counter(s for c in text if c > "\x7f" and (s := script(c)))
-    latin = sum(map(text.count, "eaionrtsl")) * 3 // 2 + foreign.pop("LATIN", 0)
-    other = foreign.most_common(1)
-    return other[0][0] if other and other[0][1] > latin else "LATIN"
+    rest = text.translate(_NO_LATIN)
+    counts = Counter(s for c in rest if c > "\x7f" and (s := script(c)))
+    counts["LATIN"] += len(text) - len(rest)
+    return max(counts, key=lambda s: (counts[s], s == "LATIN", s))
 
 
-def is_clean(token: str) -> bool:
-    """A word of one script."""
-    return token.isascii() or len({s for c in token if (s := script(c))}) <= 1
+def clean_words(text: str) -> set[str]:
+    """Words of a folded text all of whose letters are of the text's main script."""
+    words = set(TOKEN.findall(text))
+    if text.isascii():
+        return words
+    main = main_script(text)
+    return {w for w in words if (w.isascii() and main == "LATIN") or all(s in ("", main) for s in map(script, w))}
 
 
 def _key(text: str) -> bytes:
@@ -129,7 +142,7 @@ def _folded(docs: DataFrame, id_type: str, with_text: bool) -> DataFrame:
     ``__doubt`` are the doubtful tokens with their readings in order of preference. Texts without any are finished: they
     have a ``form_key``, and the form itself only if wanted; the others carry their folded text in ``form``.
     """
-    kind = pa.list_(pa.struct([("token", pa.string()), ("readings", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("token", pa.string()), ("readings", pa.list_(pa.string())), ("home", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +153,7 @@ def _folded(docs: DataFrame, id_type: str, with_text: bool) -> DataFrame:
                 found = []
                 if not f.isascii():
                     main = main_script(f)
-                    found = [{"token": w, "readings": r} for w in dict.fromkeys(TOKEN.findall(f)) if not w.isascii() and (r := readings(w, main))]
+                    found = [{"token": w, "readings": r, "home": home_reading(w, main)} for w in dict.fromkeys(TOKEN.findall(f)) if not w.isascii() and (r := readings(w, main))]
                 rows.append(hashlib.sha256(repr(i).encode() + raw).digest()[:16])
                 raws.append(raw)
                 keys.append(None if found else (raw if f is t else _key(f)))
@@ -151,7 +164,7 @@ def _folded(docs: DataFrame, id_type: str, with_text: bool) -> DataFrame:
                 names=["__id", "__row", "raw_key", "form_key", "form", "__doubt"],
             )
 
-    return docs.mapInArrow(run, f"__id {id_type}, __row binary, raw_key binary, form_key binary, form string, __doubt array<struct<token:string,readings:array<string>>>")
+    return docs.mapInArrow(run, f"__id {id_type}, __row binary, raw_key binary, form_key binary, form string, __doubt array<struct<token:string,readings:array<string>,home:string>>")
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -161,8 +174,8 @@ def _words(docs: DataFrame) -> DataFrame:
         for b in batches:
             words: set[str] = set()
             for t in b.column(0).to_pylist():
-                words.update(TOKEN.findall(fold(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in words if is_clean(w)], pa.string())], names=["word"])
+                words |= clean_words(fold(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
 
     return docs.select("__text").mapInArrow(run, "word string")
 
@@ -190,8 +203,8 @@ def one_form(df: DataFrame, *, id_col: str, text_col: str, with_text: bool = Tru
 
     Spaces, widths, ligatures, accents and invisible characters are folded everywhere. Look-alike letters are substituted
     only in tokens of mixed script (or of another script than the rest of their text), towards the token's dominant
-    script first, and only if the result is a word of the corpus: it stands clean in some text, or two texts have tokens
-    that read so. What is visible stays as it is: case, accents, words, digits, line breaks, the number of spaces.
+    script first, and only if the result is a word of the corpus: it stands in a text of its own script, or tokens of two texts
+    of that script read so. What is visible stays as it is: case, accents, words, digits, line breaks, the number of spaces.
     Without ``with_text`` only texts that had doubtful tokens carry their form.
 
     Defined results: null texts give no row; an empty text is its own form; repeated ids are kept, each with its text;
@@ -206,8 +219,9 @@ def one_form(df: DataFrame, *, id_col: str, text_col: str, with_text: bool = Tru
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
     folded = checkpointed(_folded(docs, id_type, with_text))
     doubtful = folded.filter("__doubt is not null")
-    doubt = doubtful.select("__row", F.explode("__doubt").alias("d")).select("__row", "d.token", F.posexplode("d.readings").alias("rank", "reading"))
-    seen = doubt.groupBy("reading").agg((F.min("__row") != F.max("__row")).alias("twice"))
+    doubt = doubtful.select("__row", F.explode("__doubt").alias("d")).select("__row", "d.token", "d.home", F.posexplode("d.readings").alias("rank", "reading"))
+    home = F.when(F.col("reading") == F.col("home"), F.col("__row"))
+    seen = doubt.groupBy("reading").agg(F.coalesce(F.min(home) != F.max(home), F.lit(False)).alias("twice"))
     accepted = seen.join(_words(docs).distinct(), F.col("reading") == F.col("word"), "left").filter("word is not null or twice").select("reading")
     fixed = doubt.join(accepted, "reading").groupBy("__row", "token").agg(F.min_by("reading", "rank").alias("reading"))
     fixes = fixed.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("token", "reading"))).alias("__fixes"))
