@@ -9,6 +9,7 @@ from ..session import bounded_broadcast, bounded_collect, table
 from .canonical import map_labels
 from .leakage import leaked_items
 from .lookalikes import one_form, same_look_pairs
+from .mixing import SourceTarget, mix, shares_reached
 from .representative import Bundle, best_records, spelling_key
 
 #: Bounds on the fixed reference tables; a larger table is an error, not a cut.
@@ -81,6 +82,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> list[SourceTarget]:
+    """The wanted mix, as ``mix_targets`` lists it."""
+    return [SourceTarget(r.source, r.target_share, r.max_repeats) for r in bounded_collect(table(spark, sf_dir, "mix_targets").filter("source is not null"), MAX_ENTRIES, "mix_targets")]
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture with their copies."""
+    return mix(table(spark, sf_dir, "documents"), mix_targets(spark, sf_dir), id_col="doc_id", source_col="source", text_col="text")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of all tokens that each source reaches in the mixture."""
+    return shares_reached(p8_mixture(spark, sf_dir), mix_targets(spark, sf_dir))
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All document texts in their one form."""
     return one_form(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text").select("doc_id", F.col("form").alias("text"))
@@ -92,7 +108,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_mapped": p1_mapped, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_forms": p9_forms,
+    "p1_found": p1_found, "p1_mapped": p1_mapped, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
 ORACLE_SQL = {"p5_found": P5_SQL}
