@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.units import NOTE_ROW, TOTAL_ROW
 from ..session import bounded_broadcast, bounded_collect, table
 from .canonical import map_labels
 from .leakage import leaked_items
 from .lookalikes import one_form, same_look_pairs
 from .mixing import SourceTarget, mix, shares_reached
+from .names import link_names, variant_pairs
 from .representative import Bundle, best_records, spelling_key
 
 #: Bounds on the fixed reference tables; a larger table is an error, not a cut.
@@ -33,6 +35,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_mapped(spark, sf_dir).filter(~F.col("c0").isin(labels)).select("src_table", "row_id", F.coalesce("item_id", F.lit(0)).cast("bigint").alias("item_id"))
 
 
+def _linked(spark: SparkSession, sf_dir: str, src: str, name: str, reader: str) -> DataFrame:
+    nobody = F.col(name).rlike(NOTE_ROW) | F.col(name).rlike(TOTAL_ROW)
+    return link_names(table(spark, sf_dir, src), id_col="row_id", group_col="deal_id", name_col=name, reader=reader, nobody=nobody)
+
+
+def p4_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that names a customer, with the entity it belongs to in its deal."""
+    return _linked(spark, sf_dir, "revenue_breakdown", "customer", "firm")
+
+
+def p4_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that names a debt instrument, with the entity it belongs to in its deal."""
+    return _linked(spark, sf_dir, "debt_schedule", "instrument", "instrument")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one deal that name the same customer or instrument in different strings."""
+    pairs = lambda df, src: variant_pairs(df, "row_id").select(F.lit(src).alias("src_table"), "row_id_a", "row_id_b")
+    return pairs(p4_customers(spark, sf_dir), "revenue_breakdown").unionByName(pairs(p4_instruments(spark, sf_dir), "debt_schedule"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each fact recorded more than once, its document type and field name."""
     known = table(spark, sf_dir, "doc_fields")
@@ -108,7 +131,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_mapped": p1_mapped, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
+    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_customers": p4_customers, "p4_instruments": p4_instruments, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
 ORACLE_SQL = {"p5_found": P5_SQL}
