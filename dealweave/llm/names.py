@@ -172,57 +172,46 @@ def _hash(*parts: object) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _parsed(names: DataFrame, reader: str) -> DataFrame:
-    """Adds key, guard and style to distinct ``group, raw``."""
+def _parsed(names: DataFrame) -> DataFrame:
+    """Adds key, guard and style to distinct names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = READERS[reader]
         for b in batches:
-            got = [read(s) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], names=["grp", "raw", "key", "guard", "style"])
+            got = [READERS[r](s) for r, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))], names=["name", "grp", "key", "guard", "style"])
 
-    return names.mapInArrow(run, "grp string, raw string, key string, guard string, style string")
+    return names.select("name", "grp", "reader", "raw").mapInArrow(run, "name bigint, grp bigint, key string, guard string, style string")
 
 
-def _segments(nodes: DataFrame) -> DataFrame:
-    """``side, code, node, part, other``: index segments (side 0) and shifted substrings looked up (side 1) of every node.
+def _segments(nodes: DataFrame, index: bool) -> DataFrame:
+    """``code, node``: the segments of every node for the index, or the shifted substrings to look up in it.
 
     A node's name is searched in two parts: its first word among names with the same rest, and its rest among names with
     the same first word. ``code`` stands for group, guard, unchanged part, length and place of the segment and its text.
     """
-    schema = "side int, code bigint, node bigint, part string, words string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            side: list[int] = []
             code: list[int] = []
             node: list[int] = []
-            part: list[str] = []
             for grp, guard, key, n in zip(*(b.column(i).to_pylist() for i in range(4))):
                 first, _, rest = key.partition(" ")
-                for block, text in ((f"{grp}\x1f{guard}\x1f1\x1f{rest}", first), (f"{grp}\x1f{guard}\x1f2\x1f{first}", rest)):
+                for block, text in ((f"{grp}|{guard}|1|{rest}", first), (f"{grp}|{guard}|2|{first}", rest)):
                     size = len(text)
-                    if size < SEGMENTS + 1:
+                    if size <= SEGMENTS:
                         continue
-                    for i, (x, y) in enumerate(cuts(size)):
-                        h = _hash(block, size, i, text[x:y])
-                        side += (0, 1)  # same length: the segments of either side stand where they are
-                        code += (h, h)
-                        node += (n, n)
-                        part += (text, text)
-                    for i, (x, y) in enumerate(cuts(size - 1)):
-                        for shift in (0, 1):
-                            side.append(1)
-                            code.append(_hash(block, size - 1, i, text[x + shift : y + shift]))
-                            node.append(n)
-                            part.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(code, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.string()), pa.array(part, pa.string())], names=["side", "code", "node", "part", "words"])
-
-    return nodes.select("grp", "guard", "key", "node").mapInArrow(run, schema).select("side", "code", "node", "part")
+                    found = [_hash(block, size, i, text[x:y]) for i, (x, y) in enumerate(cuts(size))]
+                    if not index:  # a name one character longer: its substrings, where the segments stand or one further
+                        found += {_hash(block, size - 1, i, text[x + shift : y + shift]) for i, (x, y) in enumerate(cuts(size - 1)) for shift in (0, 1)}
+                    code += found
+                    node += [n] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(node, pa.int64())], names=["code", "node"])
+
+    return nodes.select("grp", "guard", "key", "node").mapInArrow(run, "code bigint, node bigint")
 
 
 def _one_edit(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """The pair of words that differ by one edit or swap, if that is all in which two texts differ; else nulls."""
+    """The pair of words that differ by one edit or swap, if that is all in which two keys differ; else nulls."""
     a, b = [], []
     for x, y in zip(left, right):
         p, q = x.split(" "), y.split(" ")
@@ -237,72 +226,80 @@ def typo_edges(nodes: DataFrame) -> DataFrame:
     """``a, b``: nodes of one group and guard whose keys differ by a mistyped word.
 
     Two spellings of a word are the same word mistyped only if one of them is rare beside the other in the whole corpus
-    (fewer than three names, or a tenth of the other's), so that two established words a letter apart stay two.
+    (fewer than three names, or a fifth of the other's), so that two established words a letter apart stay two.
     """
-    segments = _segments(nodes)
-    index, probes = segments.filter("side = 0").drop("side"), segments.filter("side = 1").drop("side")
-    met = index.select("code", F.col("node").alias("a"), F.col("part").alias("pa")).join(probes.select("code", F.col("node").alias("b"), F.col("part").alias("pb")), "code")
-    met = met.filter((F.col("a") != F.col("b")) & (F.col("pa") != F.col("pb")) & (F.levenshtein("pa", "pb", 2) >= 0)).select("a", "b", "pa", "pb").distinct()
-    met = met.withColumn("w", F.pandas_udf(_one_edit, "struct<a:string,b:string>")("pa", "pb")).filter("w.a is not null").select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
+    index, probes = _segments(nodes, True).withColumnRenamed("node", "a"), _segments(nodes, False).withColumnRenamed("node", "b")
+    met = index.join(probes, "code").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = nodes.select("node", "key")
+    met = met.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
+    met = met.withColumn("w", F.pandas_udf(_one_edit, "struct<a:string,b:string>")("ka", "kb")).filter("w.a is not null").select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
     words = nodes.select(F.explode(F.array_distinct(F.split("key", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    met = met.join(words.select(F.col("word").alias("wa"), F.col("n").alias("na")), "wa").join(words.select(F.col("word").alias("wb"), F.col("n").alias("nb")), "wb")
-    rare = F.least("na", "nb") < F.greatest(F.lit(3.0), 0.1 * F.greatest("na", "nb"))
+    met = met.join(words.toDF("wa", "na"), "wa").join(words.toDF("wb", "nb"), "wb")
+    rare = F.least("na", "nb") < F.greatest(F.lit(3.0), 0.2 * F.greatest("na", "nb"))
     return met.filter(rare).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp``: the connected components of ``a, b``, named by their smallest node.
 
-    Labels spread along the edges until none changes; each round is checkpointed in the shared folder. Only a count of
-    changes comes to the driver.
+    Labels spread two edges a round until none changes; each round is checkpointed in the shared folder. Only whether
+    something changed comes to the driver.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
+
+    def spread(labels: DataFrame) -> DataFrame:
+        labels = labels.select("node", "comp")
+        near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
+        return labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
+
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(seen, F.col("node") == F.col("a"))
-        labels = checkpointed(step.select("node", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved")))
-        changed = labels.filter("moved").limit(1).count()
+        labels = checkpointed(spread(spread(labels)))
+        moved = labels.filter("comp != was").limit(1).count()
         labels = labels.select("node", "comp")
-        if not changed:
+        if not moved:
             return labels
 
 
 def _shrunk(nodes: DataFrame) -> DataFrame:
-    """``grp, kind, form, node, guard``: what full names can shrink to."""
+    """``code, kind, node, guard``: what full names can shrink to; ``code`` stands for group, kind and form."""
     words = F.split("key", " ")
     n = F.size(words)
     initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     rest = F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")
+    form = lambda kind, f: F.struct(F.lit(kind).alias("kind"), f.alias("form"))
     forms = F.array(
-        F.struct(F.lit("swap").alias("kind"), F.when(n >= 2, F.concat_ws(" ", words[1], words[0], F.when(n > 2, F.array_join(F.slice(words, 3, F.greatest(n - 2, F.lit(1))), " ")))).alias("form")),
-        F.struct(F.lit("initial").alias("kind"), F.when(n >= 2, F.concat_ws(" ", F.substring(words[0], 1, 1), rest)).alias("form")),
-        F.struct(F.lit("short").alias("kind"), F.when(n >= 3, F.concat_ws(" ", words[0], F.element_at(words, -1))).alias("form")),
-        F.struct(F.lit("acronym").alias("kind"), F.when(n >= 2, initials).alias("form")),
-        F.struct(F.lit("acronym").alias("kind"), F.when((n >= 2) & F.col("guard").rlike("^[a-z]+$"), F.concat(initials, F.substring("guard", 1, 1))).alias("form")),
+        form("swap", F.when(n >= 2, F.concat_ws(" ", words[1], words[0], F.when(n > 2, F.array_join(F.slice(words, 3, F.greatest(n - 2, F.lit(1))), " "))))),
+        form("initial", F.when(n >= 2, F.concat_ws(" ", F.substring(words[0], 1, 1), rest))),
+        form("short", F.when(n >= 3, F.concat_ws(" ", words[0], F.element_at(words, -1)))),
+        form("acronym", F.when(n >= 2, initials)),
+        form("acronym", F.when((n >= 2) & F.col("guard").rlike("^[a-z]+$"), F.concat(initials, F.substring("guard", 1, 1)))),
     )
-    return nodes.select("grp", "guard", "node", "key", F.explode(forms).alias("f")).select("grp", "guard", "node", F.col("f.kind").alias("kind"), F.col("f.form").alias("form")).filter("form is not null")
+    out = nodes.select("grp", "guard", "node", F.explode(forms).alias("f")).filter("f.form is not null")
+    return out.select(F.xxhash64("grp", "f.kind", "f.form").alias("code"), F.col("f.kind").alias("kind"), "node", "guard")
 
 
 def _shortened(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges ``a, b`` of names with their first two words swapped, and ``part, full, same`` of shortened names with every
     full name they can mean (``same``: the guards agree)."""
     full = nodes.filter("style = 'full'")
-    forms = _shrunk(full)
-    words = F.size(F.split("key", " "))
-    swapped = full.select("grp", "guard", F.col("key").alias("form"), F.col("node").alias("a")).join(forms.filter("kind = 'swap'").select("grp", "guard", "form", F.col("node").alias("b")), ["grp", "guard", "form"]).filter("a != b").select("a", "b")
-    asked = nodes.select("grp", F.col("guard").alias("own"), F.col("node").alias("part"), F.col("key").alias("form"), F.when(F.col("style") != "full", F.col("style")).when(words == 2, F.lit("short")).alias("kind")).filter("kind is not null")
-    meant = asked.join(forms.filter("kind != 'swap'"), ["grp", "kind", "form"])
-    heads = full.select("grp", "guard", F.col("node"), "key", F.substring_index("key", " ", 1).alias("head"), words.alias("n"))
-    cut = heads.filter("n >= 2").select("grp", "head", F.col("guard").alias("own"), F.col("node").alias("part"), F.col("key").alias("cut")).join(heads, ["grp", "head"])
-    cut = cut.filter(F.col("key").startswith(F.col("cut")) & (F.col("key") != F.col("cut")))
-    out = meant.select("part", "node", "own", "guard").unionByName(cut.select("part", "node", "own", "guard"))
-    out = out.filter((F.col("part") != F.col("node")) & ((F.col("own") == F.col("guard")) | (F.col("own") == "")))
-    return swapped, out.select("part", F.col("node").alias("full"), (F.col("own") == F.col("guard")).alias("same"))
-
-
-def link_names(df: DataFrame, *, id_col: str, group_col: str, name_col: str, reader: str, nobody: Column | None = None) -> DataFrame:
-    """``<id_col>, grp, raw, entity``: every row that names somebody, with the entity its name belongs to in its group.
+    forms, words = _shrunk(full), F.size(F.split("key", " "))
+    swapped = full.select(F.xxhash64("grp", F.lit("swap"), "key").alias("code"), "guard", F.col("node").alias("a")).join(forms.filter("kind = 'swap'").select("code", "guard", F.col("node").alias("b")), ["code", "guard"])
+    kind = F.when(F.col("style") != "full", F.col("style")).when(words == 2, F.lit("short"))
+    asked = nodes.withColumn("kind", kind).filter("kind is not null").select(F.xxhash64("grp", "kind", "key").alias("code"), F.col("guard").alias("own"), F.col("node").alias("part"))
+    meant = asked.join(forms.filter("kind != 'swap'").select("code", "guard", F.col("node").alias("full")), "code").select("part", "full", "own", "guard")
+    heads = full.filter(words >= 2).select(F.xxhash64("grp", F.substring_index("key", " ", 1)).alias("code"), "guard", "node", "key")
+    cut = heads.toDF("code", "own", "part", "cut").join(heads.toDF("code", "guard", "full", "key"), "code")
+    cut = cut.filter(F.col("key").startswith(F.col("cut")) & (F.length("key") > F.length("cut"))).select("part", "full", "own", "guard")
+    out = meant.unionByName(cut).filter((F.col("part") != F.col("full")) & ((F.col("own") == F.col("guard")) | (F.col("own") == "")))
+    return swapped.filter("a != b").select("a", "b"), out.select("part", "full", (F.col("own") == F.col("guard")).alias("same"))
+
+
+def link_names(df: DataFrame, *, id_col: str, group_col: str, name_col: str, reader: str | Column = "firm", nobody: Column | None = None) -> DataFrame:
+    """``<id_col>, name, entity``: every row that names somebody, with hashes of its name and of the entity that the name
+    means in its group.
+
+    ``reader`` says how names are read: ``firm`` (firms and persons), ``instrument``, or a column of these.
 
     Defined results: rows with a null or blank name or a null group, and rows that ``nobody`` marks, name nobody and give
     no row; equal names of a group are one entity; a shortened name that could mean several is an entity of its own;
@@ -310,34 +307,35 @@ def link_names(df: DataFrame, *, id_col: str, group_col: str, name_col: str, rea
     are ignored, whatever their names.
 
     Plan: rows are reduced to distinct names per group before anything else (partial aggregation, so a group or name with
-    a third of all rows arrives small). Only (hash, node, word) triples are shuffled for the segment join; a segment meets
-    only names that share their group, guard and all other words, so candidates stay few even in a huge group.
+    a third of all rows arrives small). The segment join shuffles pairs of 64-bit numbers only; a segment meets only names
+    that share their group, guard and all other words, so candidates stay few even in a huge group. Names of one group
+    that begin alike are compared on the whole word, and words are told apart by the corpus.
     """
-    rows = df.select(F.col(id_col).alias(id_col), F.col(group_col).cast("string").alias("grp"), F.col(name_col).alias("raw"), (nobody if nobody is not None else F.lit(False)).alias("__nobody"))
-    rows = rows.filter(F.col("grp").isNotNull() & F.col("raw").rlike(r"\S") & ~F.coalesce("__nobody", F.lit(False))).drop("__nobody")
-    names = checkpointed(_parsed(rows.select("grp", "raw").distinct(), reader).withColumn("node", F.xxhash64("grp", "guard", "style", "key")))
-    nodes = names.filter("key != ''").select("grp", "guard", "style", "key", "node").distinct()
+    kind = reader if isinstance(reader, Column) else F.lit(reader)
+    rows = df.select(F.col(id_col).alias("__id"), F.xxhash64(kind, F.col(group_col)).alias("grp"), kind.alias("reader"), F.col(name_col).alias("raw"), F.coalesce(nobody if nobody is not None else F.lit(False), F.lit(False)).alias("nobody"), F.col(group_col).isNotNull().alias("grouped"))
+    rows = rows.filter(F.col("grouped") & F.col("raw").rlike(r"\S") & ~F.col("nobody")).select("__id", "grp", "reader", "raw", F.xxhash64("grp", "raw").alias("name"))
+    names = checkpointed(_parsed(rows.groupBy("name").agg(F.first("grp").alias("grp"), F.first("reader").alias("reader"), F.first("raw").alias("raw"))).withColumn("node", F.when(F.col("key") != "", F.xxhash64("grp", "guard", "style", "key")).otherwise(F.col("name"))))
+    nodes = checkpointed(names.filter("key != ''").groupBy("node").agg(*(F.first(c).alias(c) for c in ("grp", "guard", "style", "key"))))
     swapped, meant = _shortened(nodes)
-    labels = checkpointed(components(typo_edges(nodes.filter("style = 'full'")).unionByName(swapped)))
-    # a shortened name joins the one entity it can mean; agreeing guards go first
-    of = labels.withColumnRenamed("node", "full")
-    meant = meant.join(of, "full", "left").select("part", "same", F.coalesce("comp", "full").alias("comp"))
-    meant = meant.join(labels.select(F.col("node").alias("part"), F.col("comp").alias("own")), "part", "left").filter("own is null or own != comp")
-    meant = meant.groupBy("part").agg(*(f(F.when(F.col("same") == s, F.col("comp"))).alias(f"{n}{int(s)}") for s in (True, False) for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    one = F.when(F.col("lo1").isNotNull(), F.when(F.col("lo1") == F.col("hi1"), F.col("lo1"))).when(F.col("lo0") == F.col("hi0"), F.col("lo0"))
-    joined = meant.select("part", one.alias("to")).filter("`to` is not null")
-    # the shortened name's own component goes along with it
-    ties = joined.join(labels.withColumnRenamed("node", "part"), "part", "left").select(F.coalesce("comp", "part").alias("a"), F.col("to").alias("b"))
-    merged = components(ties)
-    entity = names.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    entity = entity.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("grp", "raw", F.coalesce("root", "comp").alias("entity"))
-    return rows.join(entity, ["grp", "raw"])
-
-
-def variant_pairs(linked: DataFrame, id_col: str) -> DataFrame:
-    """``<id_col>_a, <id_col>_b``: rows of one group that name one entity in strings that are not equal, a < b."""
-    several = linked.groupBy("grp", "entity").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo != hi").select("grp", "entity")
-    rows = linked.join(several, ["grp", "entity"])
-    a = rows.select("grp", "entity", F.col(id_col).alias(f"{id_col}_a"), F.col("raw").alias("ra"))
-    b = rows.select("grp", "entity", F.col(id_col).alias(f"{id_col}_b"), F.col("raw").alias("rb"))
-    return a.join(b, ["grp", "entity"]).filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("ra") != F.col("rb"))).select(f"{id_col}_a", f"{id_col}_b")
+    labels = components(typo_edges(nodes.filter("style = 'full'")).unionByName(swapped))
+    # a shortened name joins the one entity it can mean: guards that agree go first, then names that are no shorter form themselves
+    meant = meant.join(labels.toDF("full", "comp"), "full", "left").select("part", "full", "same", F.coalesce("comp", "full").alias("comp"))
+    short = meant.select(F.col("part").alias("full")).distinct().withColumn("short", F.lit(1))
+    level = F.when(F.col("same"), 0).otherwise(2) + F.coalesce("short", F.lit(0))
+    best = meant.join(short, "full", "left").groupBy("part", level.alias("level")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    best = best.groupBy("part").agg(F.min_by(F.struct("lo", "hi"), "level").alias("c")).filter("c.lo = c.hi").select(F.col("part").alias("node"), F.col("c.lo").alias("to"))
+    entity = names.select("name", "node").join(labels, "node", "left").join(best, "node", "left").select("name", F.coalesce("to", "comp", "node").alias("entity"))
+    # what a shortened name joins may have joined something itself
+    entity = entity.join(best.toDF("entity", "next"), "entity", "left").select("name", F.coalesce("next", "entity").alias("entity"))
+    return rows.select("__id", "name").join(entity, "name").select(F.col("__id").alias(id_col), "name", "entity")
+
+
+def variant_pairs(linked: DataFrame, id_col: str, keep: list[str] | None = None) -> DataFrame:
+    """``<id_col>_a, <id_col>_b``: rows that name one entity in strings that are not equal, a < b; ``keep`` goes along."""
+    keep = keep or []
+    linked = checkpointed(linked)
+    several = linked.groupBy("entity").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo != hi").select("entity")
+    rows = linked.join(several, "entity")
+    a = rows.select("entity", *keep, F.col(id_col).alias(f"{id_col}_a"), F.col("name").alias("na"))
+    b = rows.select("entity", F.col(id_col).alias(f"{id_col}_b"), F.col("name").alias("nb"))
+    return a.join(b, "entity").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("na") != F.col("nb"))).select(*keep, f"{id_col}_a", f"{id_col}_b")

@@ -35,25 +35,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_mapped(spark, sf_dir).filter(~F.col("c0").isin(labels)).select("src_table", "row_id", F.coalesce("item_id", F.lit(0)).cast("bigint").alias("item_id"))
 
 
-def _linked(spark: SparkSession, sf_dir: str, src: str, name: str, reader: str) -> DataFrame:
-    nobody = F.col(name).rlike(NOTE_ROW) | F.col(name).rlike(TOTAL_ROW)
-    return link_names(table(spark, sf_dir, src), id_col="row_id", group_col="deal_id", name_col=name, reader=reader, nobody=nobody)
+def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both tables with the name they hold; ``row`` tells table and row."""
 
+    def rows(src: str, name: str, reader: str) -> DataFrame:
+        nobody = F.coalesce(F.col(name).rlike(NOTE_ROW) | F.col(name).rlike(TOTAL_ROW), F.lit(False))
+        return table(spark, sf_dir, src).filter(~nobody).select(F.struct(F.lit(src).alias("src_table"), "row_id").alias("row"), "deal_id", F.col(name).alias("name"), F.lit(reader).alias("reader"))
 
-def p4_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row that names a customer, with the entity it belongs to in its deal."""
-    return _linked(spark, sf_dir, "revenue_breakdown", "customer", "firm")
+    return rows("revenue_breakdown", "customer", "firm").unionByName(rows("debt_schedule", "instrument", "instrument"))
 
 
-def p4_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row that names a debt instrument, with the entity it belongs to in its deal."""
-    return _linked(spark, sf_dir, "debt_schedule", "instrument", "instrument")
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that names a customer or instrument, with the entity it belongs to in its deal."""
+    linked = link_names(_named_rows(spark, sf_dir), id_col="row", group_col="deal_id", name_col="name", reader=F.col("reader"))
+    return linked.select("row.src_table", "row.row_id", "name", "entity")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one deal that name the same customer or instrument in different strings."""
-    pairs = lambda df, src: variant_pairs(df, "row_id").select(F.lit(src).alias("src_table"), "row_id_a", "row_id_b")
-    return pairs(p4_customers(spark, sf_dir), "revenue_breakdown").unionByName(pairs(p4_instruments(spark, sf_dir), "debt_schedule"))
+    return variant_pairs(p4_entities(spark, sf_dir), "row_id", keep=["src_table"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_customers": p4_customers, "p4_instruments": p4_instruments, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
+    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
 ORACLE_SQL = {"p5_found": P5_SQL}
