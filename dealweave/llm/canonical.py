@@ -66,8 +66,10 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "Total Liabilities and Equity": ("total l&e", "total liab. & stockholders' equity", "liabs + equity"),
 }
 
-_BEFORE = re.compile(r"^\s*(?:gl\s*#?\s*\d+\s*[:.\-]\s*|\d{3,6}\s+|\d{1,3}\s*[.)]\s+|[-–—>*•·+]+\s+)")
-_AFTER = re.compile(r"(?:\s*[(\[](?:see )?notes? \d+[)\]]|\s*\[\d+\]|\s*\*+|\s*:|\s*\.{3,}|\s+-\s+unaudited|\s+per tb|,\s*net|\s*=)\s*$")
+#: What stands before and after a label without belonging to it.
+BEFORE = r"^\s*(?:gl\s*#?\s*\d+\s*[:.\-]\s*|\d{3,6}\s+|\d{1,3}\s*[.)]\s+|[-–—>*•·+]+\s+)"
+AFTER = r"(?:\s*[(\[](?:see )?notes? \d+[)\]]|\s*\[\d+\]|\s*\*+|\s*:|\s*\.{3,}|\s+-\s+unaudited|\s+per tb|,\s*net|\s*=)\s*$"
+_BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
 
 
 def plain_label(text: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.units import NOTE_ROW, TOTAL_ROW
 from ..session import bounded_broadcast, bounded_collect, table
-from .canonical import map_labels
+from .canonical import AFTER, ALIASES, BEFORE, label_paths, map_labels
 from .leakage import leaked_items
 from .lookalikes import one_form, same_look_pairs
 from .mixing import SourceTarget, mix, shares_reached
@@ -72,6 +72,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_records(records, group="fact_id", bundles=bundles, trust=[F.col("reviewed"), F.col("confidence"), F.col("extracted_at"), -F.col("evidence_id")])
 
 
+def p1_sql() -> str:
+    """SQL of p1_found: the same paths, compared with DuckDB's edit distance."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({q(path)}, {q(label)})" for path, label in label_paths({label: label for label in ALIASES}))
+    plain = f"trim(regexp_replace(trim(lower(replace(c0, '_', ' '))), {q(BEFORE)}, ''))"
+    for _ in range(3):
+        plain = f"trim(regexp_replace({plain}, {q(AFTER)}, ''))"
+    plain = f"replace(replace(replace({plain}, '&', ' and '), '+', ' and '), chr(39), '')"
+    plain = rf"trim(regexp_replace(regexp_replace({plain}, '[^\w]+', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"""
+WITH rows AS (SELECT 'balance_sheet' AS src_table, row_id, c0 FROM balance_sheet UNION ALL SELECT 'ugly_balance_sheet', row_id, c0 FROM ugly_balance_sheet),
+used AS (SELECT * FROM rows WHERE regexp_matches(c0, '\S') AND c0 NOT IN (SELECT label FROM line_items)), labels AS (SELECT c0, {plain} AS s FROM (SELECT DISTINCT c0 FROM used)),
+paths AS (SELECT DISTINCT path, item_id FROM (VALUES {rows}) v(path, label) JOIN line_items USING (label)),
+near AS (SELECT c0, item_id, min(damerau_levenshtein(s, path)) AS k FROM labels JOIN paths ON abs(len(s) - len(path)) <= 2 AND damerau_levenshtein(s, path) <= CASE WHEN len(s) <= 4 THEN 0 WHEN len(s) <= 11 THEN 1 ELSE 2 END GROUP BY 1, 2),
+best AS (SELECT c0, min(item_id) AS item_id FROM (SELECT *, min(k) OVER (PARTITION BY c0) AS least FROM near) WHERE k = least GROUP BY c0 HAVING count(*) = 1)
+SELECT src_table, row_id, coalesce(item_id, 0) AS item_id FROM used LEFT JOIN best USING (c0)
+"""
+
+
 P5_SQL = """
 WITH types AS (
     SELECT type_key, min(doc_type) AS known_type FROM (
@@ -134,4 +153,4 @@ QUERIES = {
     "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
-ORACLE_SQL = {"p5_found": P5_SQL}
+ORACLE_SQL = {"p1_found": p1_sql(), "p5_found": P5_SQL}
