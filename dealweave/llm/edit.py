@@ -15,7 +15,7 @@ def within(a: str, b: str, k: int) -> int:
         return k + 1
     far = k + 1
     before: list[int] = []
-    row = [j if j <= k else far for j in range(m + 1)]
+    row, least = [j if j <= k else far for j in range(m + 1)], 0
     for i in range(1, n + 1):
         lo, hi = max(1, i - k), min(m, i + k)
         now = [far] * (m + 1)
@@ -30,9 +30,11 @@ def within(a: str, b: str, k: int) -> int:
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and before[j - 2] + 1 < d:
                 d = before[j - 2] + 1
             now[j] = min(d, far)
-        if min(now[lo : hi + 1]) > k:
+        # a swap may still come from the row before this one
+        best = min(now[lo - 1 : hi + 1], default=far)
+        if best > k and least >= k:
             return far
-        before, row = row, now
+        before, row, least = row, now, best
     return row[m]
 
 
@@ -80,9 +82,9 @@ class Trie:
             return []
         m, far, best = len(query), k + 1, {}
         start = [min(j, far) for j in range(m + 1)]
-        stack = [(self.root, 0, start, None, "")]
+        stack = [(self.root, 0, start, None, "", 0)]
         while stack:
-            node, depth, row, before, last = stack.pop()
+            node, depth, row, before, last, lowest = stack.pop()
             if node.entries and row[m] <= k:
                 for e in node.entries:
                     if row[m] < best.get(e, far):
@@ -109,6 +111,7 @@ class Trie:
                     now[j] = d
                     if d < least:
                         least = d
-                if least <= k:
-                    stack.append((child, i, now, row, c))
+                # a swap may still come from the row before this one
+                if least <= k or lowest < k:
+                    stack.append((child, i, now, row, c, least))
         return sorted(((d, e) for e, d in best.items()), key=lambda x: (x[0], str(x[1])))
