@@ -242,12 +242,13 @@ def penalty_by_deal(spark, d):
 
 
 @query("""
-SELECT n_regionkey AS region, deal, period, CAST(sum(receipts_cents) AS BIGINT) AS receipts, CAST(grouping(n_regionkey) * 4 + grouping(deal) * 2 + grouping(period) AS BIGINT) AS level
+SELECT coalesce(n_regionkey, -1) AS region, coalesce(deal, -1) AS deal, coalesce(period, -1) AS period, CAST(sum(receipts_cents) AS BIGINT) AS receipts, CAST(grouping(n_regionkey) * 4 + grouping(deal) * 2 + grouping(period) AS BIGINT) AS level
 FROM receipts JOIN nation ON deal = n_nationkey GROUP BY CUBE (n_regionkey, deal, period)""")
 def deal_cube(spark, d):
     """All subtotals over region, deal and period."""
     r = receipts(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("deal"), F.col("n_regionkey").alias("region")), "deal")
-    return r.cube("region", "deal", "period").agg(F.sum("receipts_cents").alias("receipts"), F.grouping_id().alias("level"))
+    cube = r.cube("region", "deal", "period").agg(F.sum("receipts_cents").alias("receipts"), F.grouping_id().alias("level"))
+    return cube.select(*(F.coalesce(c, F.lit(-1)).alias(c) for c in ("region", "deal", "period")), "receipts", "level")
 
 
 @query("""
@@ -260,12 +261,12 @@ def deal_rollup(spark, d):
 
 
 @query("""
-SELECT o_orderstatus, o_orderpriority, period, count(*) AS n FROM ord GROUP BY GROUPING SETS ((o_orderstatus, period), (o_orderpriority), ())""")
+SELECT o_orderstatus, o_orderpriority, coalesce(period, -1) AS period, count(*) AS n FROM ord GROUP BY GROUPING SETS ((o_orderstatus, period), (o_orderpriority), ())""")
 def order_grouping_sets(spark, d):
     """Order counts by status and period, by priority, and over all."""
     o = order_facts(spark, d)
     sets = [[F.col("o_orderstatus"), F.col("period")], [F.col("o_orderpriority")], []]
-    return o.groupingSets(sets, "o_orderstatus", "o_orderpriority", "period").agg(F.count("*").alias("n"))
+    return o.groupingSets(sets, "o_orderstatus", "o_orderpriority", "period").agg(F.count("*").alias("n")).withColumn("period", F.coalesce("period", F.lit(-1)))
 
 
 @query("""
@@ -288,14 +289,14 @@ def best_order_per_period(spark, d):
 
 @query("""
 , late AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'error'), buy AS (SELECT user_id, ts AS t, event_id AS e, value AS v FROM events WHERE event_type = 'purchase')
-SELECT event_id, user_id, e AS last_purchase, v AS last_value FROM (
+SELECT event_id, user_id, coalesce(e, -1) AS last_purchase, v AS last_value FROM (
     SELECT late.*, e, v, row_number() OVER (PARTITION BY event_id ORDER BY t DESC, e DESC) AS n FROM late LEFT JOIN buy ON late.user_id = buy.user_id AND t <= ts) WHERE n = 1""")
 def as_of_purchase(spark, d):
     """For each error the user's last purchase at or before it."""
     e = table(spark, d, "events")
     late = e.filter("event_type = 'error'").select("event_id", "user_id", "ts")
     buy = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_purchase"), F.max_by("value", "event_id").alias("last_value"))
-    return as_of_join(late, buy, ["user_id"], "ts", "ts", ["last_purchase", "last_value"]).select("event_id", "user_id", "last_purchase", "last_value")
+    return as_of_join(late, buy, ["user_id"], "ts", "ts", ["last_purchase", "last_value"]).select("event_id", "user_id", F.coalesce("last_purchase", F.lit(-1)).alias("last_purchase"), "last_value")
 
 
 @query("""

@@ -130,7 +130,7 @@ z AS (SELECT *, CASE WHEN len(qy) = 2 THEN '20' || qy ELSE qy END AS qyy, CASE W
     CASE WHEN mm <> '' THEN my WHEN len(ny) = 2 THEN '20' || ny ELSE ny END AS moy FROM x)
 SELECT label, CASE WHEN s IN ('ltm', 'ttm') THEN 'LTM' WHEN y <> '' THEN y WHEN q <> '' THEN qyy || '-Q' || q WHEN mo IS NOT NULL THEN moy || '-' || mo WHEN yw <> '' THEN yw END AS period_key,
     CASE WHEN s IN ('ltm', 'ttm') THEN 'ltm' WHEN y <> '' THEN 'year' WHEN q <> '' THEN 'quarter' WHEN mo IS NOT NULL THEN 'month' WHEN yw <> '' THEN 'year' END AS granularity,
-    CAST(CASE WHEN s IN ('ltm', 'ttm') THEN 999999 WHEN y <> '' THEN CAST(y AS INT) * 100 WHEN q <> '' THEN CAST(qyy AS INT) * 100 + CAST(q AS INT) WHEN mo IS NOT NULL THEN CAST(moy AS INT) * 100 + CAST(mo AS INT) WHEN yw <> '' THEN CAST(yw AS INT) * 100 END AS BIGINT) AS sort_value
+    CAST(coalesce(CASE WHEN s IN ('ltm', 'ttm') THEN 999999 WHEN y <> '' THEN CAST(y AS INT) * 100 WHEN q <> '' THEN CAST(qyy AS INT) * 100 + CAST(q AS INT) WHEN mo IS NOT NULL THEN CAST(moy AS INT) * 100 + CAST(mo AS INT) WHEN yw <> '' THEN CAST(yw AS INT) * 100 END, -1) AS BIGINT) AS sort_value
 FROM z"""
 
 
@@ -140,7 +140,7 @@ def period_parse(spark, d):
     one = lambda t, c: table(spark, d, t).select(F.col(c).alias("label"))
     heads = table(spark, d, "ugly_balance_sheet").filter("c0 = 'Caption'").select(F.col("c1").alias("label"))
     raw = one("evidence_resolver", "period_key").unionByName(one("revenue_breakdown", "sheet_title")).unionByName(one("debt_schedule", "sheet_title")).unionByName(heads)
-    return raw.filter("label is not null").distinct().select("label", parse_period(F.col("label")).alias("p")).select("label", "p.period_key", "p.granularity", "p.sort_value")
+    return raw.filter("label is not null").distinct().select("label", parse_period(F.col("label")).alias("p")).select("label", "p.period_key", "p.granularity", F.coalesce("p.sort_value", F.lit(-1)).alias("sort_value"))
 
 
 @query("""
