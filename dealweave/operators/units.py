@@ -42,7 +42,7 @@ def stated_scale(text: Column) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(c, "   ’", "   '"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "\u2019", "'"), r"[\s\x{A0}\x{2007}\x{2009}\x{202F}]+", " "))
 
 
 def amount_cells(df: DataFrame) -> DataFrame:
@@ -83,34 +83,34 @@ def rate_cells(df: DataFrame) -> DataFrame:
 def _search(shifts: tuple[float, ...], penalty: float, tolerance: float):
     """Pandas UDF: for each history (log values and their reference) the known shift of every value, in decades."""
 
+    def one(logs: np.ndarray, ref: float | None) -> list[int]:
+        y = np.array(logs, dtype=float)  # null becomes NaN
+        out, known = np.zeros(len(y), dtype=int), ~np.isnan(y)
+        out[known] = level_shifts(y[known], shifts, penalty, tolerance, None if ref is None or np.isnan(ref) else float(ref)).astype(int)
+        return out.tolist()
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for logs, refs in batches:
-            yield pd.Series([
-                level_shifts(np.asarray(y, dtype=float), shifts, penalty, tolerance, None if r is None or np.isnan(r) else float(r)).astype(int).tolist()
-                for y, r in zip(logs, refs)
-            ])
+            yield pd.Series([one(y, r) for y, r in zip(logs, refs)])
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<int>")
 
 
-def with_level_shifts(df: DataFrame, *, keys: list[str], place: str, log: str, reference: str, shifts: tuple[float, ...], penalty: float = PENALTY, tolerance: float = 1.5) -> DataFrame:
+def with_level_shifts(df: DataFrame, *, keys: list[str], place: str, log: str, reference: str, shifts: tuple[float, ...], spread: str, penalty: float = PENALTY, tolerance: float = 1.5) -> DataFrame:
     """Adds ``level_shift``: the known shift of the changepoint segment that a value lies in, in decades.
 
     Histories are the rows of ``keys`` ordered by ``place``, cut into blocks of ``BLOCK_ROWS`` places, so a history with a
-    third of all rows is spread over many tasks and no array exceeds a block (rows that share a place are one block's).
-    Rows whose ``log`` is null (zero values) belong to no level and get 0.
+    third of all rows is spread over many tasks and no array exceeds a block. Rows without a place have no neighbours and
+    are spread by a hash of their ``spread`` column. Rows whose ``log`` is null (zero values) belong to no level and get 0.
     """
     own = [c for c in df.columns if c not in keys]
-    block = F.coalesce(F.floor(F.col(place) / BLOCK_ROWS), F.lit(-1)).cast("bigint")
+    block = F.coalesce(F.floor(F.col(place) / BLOCK_ROWS).cast("bigint"), -1 - F.pmod(F.xxhash64(spread), F.lit(1 << 20)))
     row = F.struct(F.col(place).alias("p"), F.col(log).alias("y"), F.struct(*own).alias("r"))
     grouped = df.withColumn("__block", block).groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(row)).alias("__rows"), F.max(reference).alias("__ref"))
-    known = F.filter("__rows", lambda r: r["y"].isNotNull())
-    searched = grouped.withColumn("__shift", _search(shifts, penalty, tolerance)(F.transform(known, lambda r: r["y"]), F.col("__ref")))
-    out = searched.select(*keys, F.explode(F.arrays_zip(known.alias("known"), F.col("__shift"))).alias("z"))
-    levels = out.select(*keys, F.col("z.known.r.*"), F.col("z.__shift").alias("level_shift"))
-    rest = df.filter(F.col(log).isNull()).select(*keys, *own, F.lit(0).alias("level_shift"))
-    return levels.unionByName(rest)
+    searched = grouped.withColumn("__shift", _search(shifts, penalty, tolerance)(F.col("__rows.y"), F.col("__ref")))
+    out = searched.select(*keys, F.explode(F.arrays_zip("__rows", "__shift")).alias("z"))
+    return out.select(*keys, F.col("z.__rows.r.*"), F.col("z.__shift").alias("level_shift"))
 
 
 def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, value: str, name: str, title: str, header: str | None = None, share: str | None = None) -> DataFrame:
@@ -156,7 +156,7 @@ def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, val
         "row_id", "__file", "__place", "__number", "__own", "__total", F.col("__stated"), reading.alias("__reading"), reference.alias("__reference"),
         (F.col("__log") + reading - F.coalesce(share_log, F.col("__log") + reading - reference, F.lit(0.0))).alias("__y"),
     )
-    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=AMOUNT_SHIFTS)
+    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=AMOUNT_SHIFTS, spread="row_id")
     turned = F.col("__total") & F.col("__own").isNull() & F.col("__reference").isNotNull()
     decades = F.when(turned, F.col("__reading") - F.col("level_shift")).otherwise(F.col("__reading")).cast("int")
     power = F.element_at(F.create_map(*(x for e in range(-6, 13, 3) for x in (F.lit(e), F.lit(f"{10.0**e:.6f}").cast("decimal(20,6)")))), F.col("decades"))
@@ -190,7 +190,7 @@ def rates_in_percent(df: DataFrame, *, row_id: str, file: str, place: str, value
     cells = cells.withColumn("__reading", reading)
     y = F.log10(F.when(F.col("__number") != 0, F.abs((F.col("__number") * F.col("__reading")).cast("double")) * F.col("__times")))
     cells = cells.withColumn("__y", y).withColumn("__reference", F.log10(F.lit(TYPICAL_RATE)))
-    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=RATE_SHIFTS, tolerance=0.9)
+    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=RATE_SHIFTS, spread="row_id", tolerance=0.9)
     bare = F.col("__own").isNull() & F.col("__stated").isNull()
     fraction = bare & (F.abs("__number") < 1) & (F.col("__number") != 0)
     points = F.when(fraction, F.lit("100").cast("decimal(10,4)")).otherwise(F.col("__reading"))
