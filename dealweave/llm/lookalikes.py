@@ -233,9 +233,10 @@ def one_form(df: DataFrame, *, id_col: str, text_col: str, with_text: bool = Tru
 def same_look_pairs(forms: DataFrame, id_col: str) -> DataFrame:
     """``<id_col>_a, <id_col>_b``: rows of ``one_form`` whose texts differ while their forms are equal, a < b.
 
-    Forms that only one text has are dropped before the join, whose skewed keys the adaptive join splits.
+    The digests are checkpointed once for the three times they are read. Forms that only one text has are dropped before
+    the join, whose skewed keys the adaptive join splits.
     """
-    rows = forms.select(F.col(id_col).alias("id"), "raw_key", "form_key").filter("id is not null")
+    rows = checkpointed(forms.select(F.col(id_col).alias("id"), "raw_key", "form_key").filter("id is not null"))
     several = rows.groupBy("form_key").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).filter("lo != hi").select("form_key")
     left = rows.join(several, "form_key")
     a, b = left.select("form_key", F.col("id").alias(f"{id_col}_a"), F.col("raw_key").alias("ra")), left.select("form_key", F.col("id").alias(f"{id_col}_b"), F.col("raw_key").alias("rb"))
