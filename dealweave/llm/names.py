@@ -27,6 +27,9 @@ from .edit import within
 #: Segments of a text. One edit or swap touches two neighbours at most, so with three one stays whole.
 SEGMENTS = 3
 
+#: Lengths of prefixes under which names are listed, so that only names alike that far are compared.
+PREFIXES = (3, 6, 9, 13, 18, 25, 35, 50, 70, 100, 150, 250)
+
 LEGAL = frozenset("inc llc corp corporation co company ltd limited lp llp plc gmbh incorporated".split())
 REGIONS = frozenset("east west south north coastal midland inland upper lower northern southern eastern".split())
 #: Words of firm names and how they are shortened.
@@ -288,9 +291,13 @@ def _shortened(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.col("style") != "full", F.col("style")).when(words == 2, F.lit("short"))
     asked = nodes.withColumn("kind", kind).filter("kind is not null").select(F.xxhash64("grp", "kind", "key").alias("code"), F.col("guard").alias("own"), F.col("node").alias("part"))
     meant = asked.join(forms.filter("kind != 'swap'").select("code", "guard", F.col("node").alias("full")), "code").select("part", "full", "own", "guard")
-    heads = full.filter(words >= 2).select(F.xxhash64("grp", F.substring_index("key", " ", 1)).alias("code"), "guard", "node", "key")
-    cut = heads.toDF("code", "own", "part", "cut").join(heads.toDF("code", "guard", "full", "key"), "code")
-    cut = cut.filter(F.col("key").startswith(F.col("cut")) & (F.length("key") > F.length("cut"))).select("part", "full", "own", "guard")
+    # a name cut off is a prefix of the full one: both are listed under the longest prefix of a grid that the cut one has
+    long = full.filter(words >= 2)
+    grid = F.array(*map(F.lit, PREFIXES))
+    prefix = lambda n: F.xxhash64("grp", n, F.substring("key", F.lit(1), n))
+    heads = long.select("grp", "guard", F.col("node").alias("full"), "key", F.explode(F.filter(grid, lambda n: n < F.length("key"))).alias("n")).withColumn("code", prefix(F.col("n")))
+    cuts_ = long.withColumn("n", F.array_max(F.filter(grid, lambda n: n <= F.length("key")))).select(prefix(F.col("n")).alias("code"), F.col("guard").alias("own"), F.col("node").alias("part"), F.col("key").alias("cut"))
+    cut = cuts_.join(heads, "code").filter(F.col("key").startswith(F.col("cut")) & (F.length("key") > F.length("cut"))).select("part", "full", "own", "guard")
     out = meant.unionByName(cut).filter((F.col("part") != F.col("full")) & ((F.col("own") == F.col("guard")) | (F.col("own") == "")))
     return swapped.filter("a != b").select("a", "b"), out.select("part", "full", (F.col("own") == F.col("guard")).alias("same"))
 
