@@ -132,11 +132,13 @@ def typed_cells(df: DataFrame, attributes: list[Attribute], *, entity: str, labe
     rows = df.select(F.col(entity).alias("__entity"), clean_label(F.col(label)).alias("__label"), clean_value(F.col(value)).alias("__text"), order.alias("__order"))
     attr = F.coalesce(*(F.when(F.col("__label").rlike(f"^(?:{a.pattern})$"), F.lit(a.name)) for a in attributes))
     kinds = F.create_map(*(F.lit(x) for a in attributes for x in (a.name, a.data_type)))
-    rows = rows.select("__entity", "__text", "__order", attr.alias("__attr")).filter("__entity is not null and __text is not null")
+    rows = rows.select("__entity", "__text", "__order", attr.alias("__attr")).filter("__entity is not null")
     rows = value_keys(rows.withColumn("__kind", kinds[F.col("__attr")]))
-    # unreadable values are left out inside the aggregate: a filter before it would be pushed down and read every value twice
+    # unknown labels and unreadable values are left out by aggregates: a filter before them would be pushed down to the scan
+    # and write out the label's and value's expressions once for every use
     best = F.expr("max_by(__key, __order) filter (where __key is not null)").alias("__key")
-    return rows.groupBy("__entity", "__attr").agg(best).filter("__attr is not null and __key is not null")
+    cells = rows.groupBy("__entity", "__attr").agg(best, F.first("__attr").alias("__named"))
+    return cells.filter("__named is not null and __key is not null").drop("__named")
 
 
 def stitch_wide(cells: DataFrame, attributes: list[Attribute], *, entity: str) -> DataFrame:
