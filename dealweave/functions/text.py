@@ -34,7 +34,7 @@ NOISE_PHRASES = [
     r"\b(?:total company|company total|schedule|statement|report)\b",
 ]
 #: Legal forms left out of entity names.
-LEGAL_FORMS = ["inc", "llc", "ltd", "corp", "corporation", "co", "company", "lp", "llp", "plc", "holdings"]
+LEGAL_FORMS = ["inc", "llc", "corp", "co", "company", "ltd", "lp", "llp", "pllc", "holdings", "group"]
 
 
 def _apply(c: Column, steps: list[tuple[str, str]]) -> Column:

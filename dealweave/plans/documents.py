@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..dims import BALANCE_SHEET_ALIASES, FIELD_SCHEMA, TYPE_KEYWORDS, aliases_table, keywords_table, schema_table
 from ..functions.numeric import confidence_label, half_up, relative_difference, to_number, to_percent
 from ..functions.periods import describe_period, parse_period, year_in
-from ..functions.text import LABEL_EXPANSIONS, NOISE_PHRASES, NOISE_WORDS, entity_key, humanize, keyword_signal, normalize_label, slug, strip_noise, word_overlap
+from ..functions.text import LABEL_EXPANSIONS, LEGAL_FORMS, NOISE_PHRASES, NOISE_WORDS, entity_key, humanize, keyword_signal, normalize_label, slug, strip_noise, word_overlap
 from ..operators import sheets
 from ..operators.entities import greedy_clusters, similar_pairs
 from ..operators.matching import ambiguous_labels, coverage, match_labels
@@ -64,12 +64,12 @@ MATCH_SQL = (
 ac AS (SELECT *, {core_sql("a_norm")} AS a_core FROM an),
 aw AS (SELECT *, list_filter(string_split(CASE WHEN a_core <> '' THEN a_core ELSE a_norm END, ' '), lambda w: len(w) > 1 AND NOT list_contains({_NOISE}, w)) AS a_words FROM ac),
 met AS (SELECT label, norm, core, words, field_name, ordinal, a_norm, a_core, a_words, len(a_words) AS n, len(list_filter(a_words, lambda w: list_contains(words, w))) AS shared FROM labels, aw WHERE norm <> ''),
-sc AS (SELECT *, CASE WHEN a_norm IN (norm, core) OR (a_core <> '' AND a_core IN (norm, core)) THEN 1.0 WHEN n = 0 THEN NULL
+lsc AS (SELECT *, CASE WHEN a_norm IN (norm, core) OR (a_core <> '' AND a_core IN (norm, core)) THEN 1.0 WHEN n = 0 THEN NULL
     WHEN contains(' ' || norm || ' ', ' ' || a_norm || ' ') OR contains(' ' || core || ' ', ' ' || a_norm || ' ')
       OR (a_core <> '' AND (contains(' ' || norm || ' ', ' ' || a_core || ' ') OR contains(' ' || core || ' ', ' ' || a_core || ' '))) THEN 0.9
     WHEN n > 1 AND shared >= 2 AND CAST(shared AS DOUBLE) / n >= 0.67 THEN floor(greatest(0.55, least((CASE WHEN shared = n THEN CAST(0.82 AS DOUBLE) ELSE 0.68 + (CAST(shared AS DOUBLE) / n - 0.67) * 0.35 END)
       - least(greatest(len(words) - n, 0) * CAST(0.03 AS DOUBLE), CAST(0.12 AS DOUBLE)), CAST(0.89 AS DOUBLE))) * 100 + 0.5) / 100 END AS score FROM met),
-bf AS (SELECT label, field_name, arg_max(a_norm, (score, -ordinal)) AS alias, max(CAST(score AS DOUBLE)) AS score, arg_max(ordinal, (score, -ordinal)) AS ordinal FROM sc WHERE score IS NOT NULL GROUP BY 1, 2),
+bf AS (SELECT label, field_name, arg_max(a_norm, (score, -ordinal)) AS alias, max(CAST(score AS DOUBLE)) AS score, arg_max(ordinal, (score, -ordinal)) AS ordinal FROM lsc WHERE score IS NOT NULL GROUP BY 1, 2),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, len(alias) DESC, ordinal) AS INTEGER) AS match_rank FROM bf)
 """
 )
@@ -362,9 +362,12 @@ def review_merge(spark, d):
     return merged.join(base.select("k", F.lit(1).alias("b")), "k", "left").join(new.select("k", F.lit(1).alias("n")), "k", "left").select("k", "event_id", F.when(F.col("b").isNull(), "added").when(F.col("n").isNull(), "kept").otherwise("replaced").alias("change"))
 
 
-@query("""
+_LEGAL = "(" + ", ".join(map(_q, LEGAL_FORMS)) + ")"
+
+
+@query(f"""
 WITH n AS (SELECT DISTINCT deal_id, customer FROM revenue_breakdown WHERE customer IS NOT NULL),
-w AS (SELECT deal_id, customer, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(customer), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('inc', 'llc', 'ltd', 'corp', 'corporation', 'co', 'company', 'lp', 'llp', 'plc', 'holdings')), ' ') AS k FROM n)
+w AS (SELECT deal_id, customer, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(customer), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN {_LEGAL}), ' ') AS k FROM n)
 SELECT deal_id, k AS entity_key, count(*) AS spellings, min(customer) AS shown FROM w GROUP BY 1, 2 HAVING count(*) > 1""")
 def entity_keys(spark, d):
     """Customers whose spellings are equal but for case, signs and legal form."""
@@ -372,9 +375,9 @@ def entity_keys(spark, d):
     return n.groupBy("deal_id", "entity_key").agg(F.count("*").alias("spellings"), F.min("customer").alias("shown")).filter("spellings > 1")
 
 
-@query("""
+@query(f"""
 WITH n AS (SELECT DISTINCT deal_id, instrument FROM debt_schedule WHERE instrument IS NOT NULL),
-k AS (SELECT DISTINCT deal_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(instrument), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('inc', 'llc', 'ltd', 'corp', 'corporation', 'co', 'company', 'lp', 'llp', 'plc', 'holdings')), ' ') AS k FROM n),
+k AS (SELECT DISTINCT deal_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(instrument), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN {_LEGAL}), ' ') AS k FROM n),
 p AS (SELECT a.deal_id, a.k AS key_a, b.k AS key_b, list_distinct(string_split(a.k, ' ')) AS x, list_distinct(string_split(b.k, ' ')) AS y FROM k a JOIN k b ON a.deal_id = b.deal_id AND a.k < b.k WHERE a.k <> '' AND b.k <> '')
 SELECT deal_id, key_a, key_b, floor(CAST(len(list_intersect(x, y)) AS DOUBLE) / greatest(len(x), len(y)) * 10000 + 0.5) / 10000 AS similarity FROM p WHERE CAST(len(list_intersect(x, y)) AS DOUBLE) / greatest(len(x), len(y)) >= 0.74""")
 def entity_similar(spark, d):
