@@ -148,7 +148,8 @@ def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, val
         F.avg(F.when(customer & F.col("__own").isNotNull(), part + F.col("__own"))).alias("__own_level"),
     )
     stated = F.coalesce(F.col("__stated"), F.lit(0))
-    cells = rows.filter("__number is not null").select("row_id", "__file", "__place", "__number", "__own", "__total", "__pct", "__log").join(files, "__file")
+    # rows without a number stay to the end: a filter here would be pushed to the scan and read every cell twice
+    cells = rows.select("row_id", "__file", "__place", "__number", "__own", "__total", "__pct", "__log").join(files, "__file")
     reading = F.coalesce(F.col("__own"), stated)
     share_log = F.when(F.col("__total"), F.lit(0.0)).when(F.col("__pct") > 0, F.log10(F.col("__pct") / 100))
     reference = F.coalesce(F.col("__level") + stated, F.col("__own_level"), F.col("__sum") + stated, F.col("__own_sum"))
@@ -160,7 +161,7 @@ def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, val
     turned = F.col("__total") & F.col("__own").isNull() & F.col("__reference").isNotNull()
     decades = F.when(turned, F.col("__reading") - F.col("level_shift")).otherwise(F.col("__reading")).cast("int")
     power = F.element_at(F.create_map(*(x for e in range(-6, 13, 3) for x in (F.lit(e), F.lit(f"{10.0**e:.6f}").cast("decimal(20,6)")))), F.col("decades"))
-    return found.withColumn("decades", decades).select(
+    return found.filter("__number is not null").withColumn("decades", decades).select(
         "row_id", F.col("__number").alias("number"), "decades",
         F.round(F.col("__number").cast("decimal(22,6)") * power.cast("decimal(16,6)"), 0).cast("bigint").alias("dollars"), "level_shift",
         F.when(F.col("__own").isNotNull(), "cell").when(turned & (F.col("level_shift") != 0), "level").when(F.col("__stated").isNotNull(), "stated").otherwise("default").alias("evidence"),
@@ -184,7 +185,7 @@ def rates_in_percent(df: DataFrame, *, row_id: str, file: str, place: str, value
     )
     rows = rate_cells(rows)
     files = rows.groupBy("__file").agg(F.max("__said").alias("__stated"))
-    cells = rows.filter("__number is not null").select("row_id", "__file", "__place", "__number", "__own", "__times").join(files, "__file")
+    cells = rows.select("row_id", "__file", "__place", "__number", "__own", "__times").join(files, "__file")
     # one history of log percent; bare numbers as written, so that fractions among percents show as a level of their own
     reading = F.coalesce(F.col("__own"), F.when(F.col("__stated").isNotNull(), F.lit("0.01").cast("decimal(10,4)")), F.lit("1").cast("decimal(10,4)"))
     cells = cells.withColumn("__reading", reading)
@@ -194,7 +195,7 @@ def rates_in_percent(df: DataFrame, *, row_id: str, file: str, place: str, value
     bare = F.col("__own").isNull() & F.col("__stated").isNull()
     fraction = bare & (F.abs("__number") < 1) & (F.col("__number") != 0)
     points = F.when(fraction, F.lit("100").cast("decimal(10,4)")).otherwise(F.col("__reading"))
-    return found.withColumn("points", points).select(
+    return found.filter("__number is not null").withColumn("points", points).select(
         "row_id", F.col("__number").alias("number"), "points", F.col("__times").alias("times"),
         F.round(F.col("__number").cast("decimal(20,8)") * F.col("points") * F.col("__times") * 1000, 0).cast("bigint").alias("milli_percent"), "level_shift",
         F.when(F.col("__own").isNotNull(), "cell").when(~bare, "stated").when(fraction & (F.col("level_shift") == -2), "level").when(fraction, "below one").otherwise("default").alias("evidence"),
