@@ -106,7 +106,9 @@ class LeakFinder:
 
     def __init__(self, items: list[tuple[int, str]], rule: LeakRule = LeakRule()):
         self.rule, self.words, self.auto = rule, {i: plain_words(t) for i, t in items}, ahocorasick.Automaton()
-        self.need = {i: min(rule.min_words, len(w)) for i, w in self.words.items()}
+        # words are counted as they are written: "$5,285" is one, though it is compared in two parts
+        self.written = {i: self._written(t, len(self.words[i])) for i, t in items}
+        self.need = {i: min(rule.min_words, len(set(w))) for i, w in self.written.items()}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             n = min(SEED_WORDS, len(w))
@@ -118,6 +120,19 @@ class LeakFinder:
             self.auto.make_automaton()
         self.empty = not places
 
+    @staticmethod
+    def _written(text: str, n: int) -> list[int]:
+        """For every compared word the number of the written word that it is part of."""
+        parts = [len(plain_words(w)) for w in text.split()]
+        out = [i for i, k in enumerate(parts) for _ in range(k)]
+        return out if len(out) == n else list(range(n))
+
+    def _whole(self, item: int, first: int, last: int) -> int:
+        """Written words of an item that lie wholly between two compared words of it."""
+        w = self.written[item]
+        a, b = w[first], w[last]
+        return b - a + 1 - (first > 0 and w[first - 1] == a) - (last + 1 < len(w) and w[last + 1] == b and a != b)
+
     def seeds(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """By item: (place in the text, place in the item) of every seed, in words, in the order of the text."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -139,9 +154,9 @@ class LeakFinder:
                 out[item].append((last - n + 1, k))
         return out
 
-    def chains(self, seeds: list[tuple[int, int]], n: int, words: list[str], item: list[str]) -> tuple[int, int, int, int, int]:
-        """Best chain of an item's seeds: (words held, of them unchanged, item span, first and last word in the text)."""
-        best = (0, 0, 0, 0, 0)
+    def chains(self, seeds: list[tuple[int, int]], n: int, words: list[str], item: list[str]) -> tuple[int, int, int, int, int, int]:
+        """Best chain of an item's seeds: (words held, of them unchanged, item span, first and last word in the text, last in the item)."""
+        best = (0, 0, 0, 0, 0, 0)
         state: list[tuple[int, int, int, int]] = []  # words held, unchanged, first item word, first text word
         lo = 0
         for b, (t, k) in enumerate(seeds):
@@ -165,7 +180,7 @@ class LeakFinder:
                 if cand > top:
                     top = cand
             state.append(top)
-            found = (top[0], top[1], k + n - top[2], top[3], t + n - 1)
+            found = (top[0], top[1], k + n - top[2], top[3], t + n - 1, k + n - 1)
             if found > best:
                 best = found
         return best
@@ -179,9 +194,10 @@ class LeakFinder:
             n = min(SEED_WORDS, len(self.words[item]))
             if len(seeds) + n - 1 < min(need, 6) and need > n:
                 continue
-            r = self.chains(seeds, n, words, self.words[item])
-            if r[0] >= need:
-                out.append((item, *r))
+            held, same, span, first, last, end = self.chains(seeds, n, words, self.words[item])
+            count = self._whole(item, end - span + 1, end) - (span - held) if held else 0
+            if held and count >= need:
+                out.append((item, count, same, span, first, last))
         return out
 
 
