@@ -166,3 +166,22 @@ def sections(rows: DataFrame, headers: DataFrame, max_rows: int = 100_000) -> Da
 
     out = marked.groupBy("sheet", "block").applyInPandas(walk, f"sheet {kind}, header_row int, title string")
     return out.select("sheet", (F.row_number().over(Window.partitionBy("sheet").orderBy("header_row")) - 1).alias("section"), "header_row", "title")
+
+
+def section_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``sheet, row_no, cells``: each section as a sheet of its own, named ``sheet :: title`` and numbered from its header."""
+    ends = found.withColumn("end", F.coalesce(F.lead("header_row").over(Window.partitionBy("sheet").orderBy("section")), F.lit(2_147_483_647)))
+    name = F.concat_ws(" :: ", F.col("sheet"), F.coalesce("title", F.concat(F.lit("section "), (F.col("section") + 1).cast("string"))))
+    ends = ends.select("sheet", "header_row", "end", name.alias("name"))
+    cut = rows.join(ends, "sheet").filter((F.col("row_no") >= F.col("header_row")) & (F.col("row_no") < F.col("end")))
+    return cut.select(F.col("name").alias("sheet"), (F.col("row_no") - F.col("header_row")).alias("row_no"), "cells")
+
+
+def usable_sheets(classified: DataFrame, min_score: float = 0.3) -> DataFrame:
+    """Sheets of a known type that are no cover, summary or instruction sheet."""
+    return classified.filter((F.col("doc_type") != "unknown") & (F.col("score") > min_score) & ~F.lower(F.trim("sheet")).rlike("^(?:cover|summary|instructions?)$"))
+
+
+def prefer_sections(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sections where a sheet has any, else the sheet itself; both with ``parent`` and the same columns."""
+    return parts.unionByName(whole.join(parts.select("parent").distinct(), "parent", "left_anti"))

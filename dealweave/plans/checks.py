@@ -10,9 +10,11 @@ from ..dims import aliases_table
 from ..functions.numeric import half_up, relative_difference, to_number
 from ..operators import sheets
 from ..operators.matching import match_labels
-from ..operators.relational import best_by, penalty_fold, upsert
+from ..operators.relational import best_by, penalty_fold, top_k, upsert, wildcard_anti
 from ..session import table
-from .documents import _ROWS_SQL, MATCH_SQL, _balance_rows, labels
+from .documents import _ROWS_SQL, CLASSIFY_SQL, MATCH_SQL, _balance_rows, classify_titles, labels
+from .problems import p3_wide
+from .problems_sql import P3_SQL
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -187,3 +189,63 @@ def merged_registry(spark, d):
     f = table(spark, d, "doc_fields")
     side = lambda c, v: f.filter(c).select(F.col("field_name").alias("k"), F.lit(v).alias("v"), F.lit(1).alias("seq")).distinct()
     return upsert(side("ordinal <= 2", "base"), side("ordinal >= 2", "new"), ["k"], "seq").select("k", "v")
+
+
+@query("""
+WITH e AS (SELECT evidence_id, concept_key, lower(doc_type) AS doc, coalesce(source_ref, '') AS ref FROM evidence_resolver WHERE doc_type IS NOT NULL),
+r AS (SELECT * FROM (VALUES ('revenue', 'projections', ''), ('ebitda', 'qoe_report', '::Sheet1::::page-1'), ('totalDebt', 'debt_schedule', '::FS::::page-2')) v(concept_key, doc, ref))
+SELECT evidence_id, concept_key FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.concept_key = e.concept_key AND r.doc = e.doc AND (r.ref = '' OR r.ref = e.ref))""")
+def evidence_unsuppressed(spark, d):
+    """Evidence that no suppression rule hits; a rule without a reference holds for all of its document type."""
+    e = table(spark, d, "evidence_resolver").filter("doc_type is not null").select("evidence_id", "concept_key", F.lower("doc_type").alias("doc"), F.coalesce("source_ref", F.lit("")).alias("ref"))
+    rules = spark.createDataFrame([("revenue", "projections", ""), ("ebitda", "qoe_report", "::Sheet1::::page-1"), ("totalDebt", "debt_schedule", "::FS::::page-2")], "concept_key string, doc string, ref string")
+    return wildcard_anti(e, rules, ["concept_key", "doc"], "ref").select("evidence_id", "concept_key")
+
+
+_TITLES = """
+WITH t AS (SELECT DISTINCT sheet_title AS title, 'revenue_breakdown' AS truth FROM revenue_breakdown WHERE sheet_title IS NOT NULL UNION ALL SELECT DISTINCT sheet_title, 'debt_schedule' FROM debt_schedule WHERE sheet_title IS NOT NULL),
+"""
+
+
+@query(_TITLES + CLASSIFY_SQL.strip().removeprefix("WITH ").replace("t AS (", "tt AS (", 1).replace("FROM t, k", "FROM tt, k") + """
+, c AS (SELECT t.truth, r.doc_type, score FROM t JOIN (SELECT title, CASE WHEN score < 0.3 THEN 'unknown' ELSE doc_type END AS doc_type, score FROM r WHERE n = 1) r USING (title))
+SELECT truth, count(*) AS n, count(*) FILTER (WHERE doc_type = truth) AS n_right, count(*) FILTER (WHERE doc_type = 'unknown') AS n_unknown, count(*) FILTER (WHERE doc_type NOT IN (truth, 'unknown') AND score >= 0.8) AS n_false_confident FROM c GROUP BY 1""")
+def title_accuracy(spark, d):
+    """How well titles alone tell the kind of file: right, unknown, and confidently wrong."""
+    one = lambda t: table(spark, d, t).filter("sheet_title is not null").select(F.col("sheet_title").alias("title"), F.lit(t).alias("truth")).distinct()
+    c = one("revenue_breakdown").unionByName(one("debt_schedule")).join(classify_titles(spark, d), "title")
+    wrong = ~F.col("doc_type").isin("unknown") & (F.col("doc_type") != F.col("truth")) & (F.col("score") >= 0.8)
+    return c.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(F.col("doc_type") == F.col("truth")).alias("n_right"), F.count_if(F.col("doc_type") == "unknown").alias("n_unknown"), F.count_if(wrong).alias("n_false_confident"))
+
+
+@query(_FACTS + """
+, wide AS (""" + P3_SQL.strip() + """), arx AS (SELECT deal_id, arg_max(CAST(value_key AS DOUBLE), (t, file_id)) AS ar FROM wide JOIN (SELECT file_id, min(deal_id) AS deal_id, max(loaded_at) AS t FROM ar_aging GROUP BY 1) USING (file_id) WHERE field_name = 'total_ar' GROUP BY 1),
+bsx AS (SELECT deal_id, arg_max(value, (period_key, t, facts.file_id)) AS bs FROM facts JOIN (SELECT file_id, min(deal_id) AS deal_id, max(loaded_at) AS t FROM balance_sheet GROUP BY 1) b USING (file_id) WHERE field_name = 'accountsReceivable' GROUP BY 1)
+SELECT coalesce(arx.deal_id, bsx.deal_id) AS deal_id, CASE WHEN ar IS NULL OR bs IS NULL THEN 'missing' WHEN abs(ar - bs) / greatest(abs(ar), abs(bs), 1.0) > 0.5 THEN 'hard' WHEN abs(ar - bs) / greatest(abs(ar), abs(bs), 1.0) > 0.15 THEN 'warning' ELSE 'ok' END AS severity FROM arx FULL JOIN bsx ON arx.deal_id = bsx.deal_id""")
+def aging_vs_balance(spark, d):
+    """Receivables of a deal's latest aging against its latest balance sheet; either side may be missing."""
+    files = table(spark, d, "ar_aging").groupBy("file_id").agg(F.min("deal_id").alias("deal_id"), F.max("loaded_at").alias("t"))
+    ar = p3_wide(spark, d).filter("total_ar is not null").join(files, "file_id").groupBy("deal_id").agg(F.max_by("total_ar", F.struct("t", "file_id")).cast("double").alias("ar"))
+    files = table(spark, d, "balance_sheet").groupBy("file_id").agg(F.min("deal_id").alias("deal_id"), F.max("loaded_at").alias("t"))
+    bs = balance_facts(spark, d).filter("field_name = 'accountsReceivable'").join(files, "file_id").groupBy("deal_id").agg(F.max_by("value", F.struct("period_key", "t", "file_id")).alias("bs"))
+    gap = relative_difference(F.col("ar"), F.col("bs"))
+    severity = F.when(F.col("ar").isNull() | F.col("bs").isNull(), "missing").when(gap > 0.5, "hard").when(gap > 0.15, "warning").otherwise("ok")
+    return ar.join(bs, "deal_id", "full").select("deal_id", severity.alias("severity"))
+
+
+@query(_ROWS_SQL + """
+, l AS (SELECT r.sheet, row_no, cells[1] AS label, row_number() OVER (PARTITION BY r.sheet ORDER BY row_no) AS n FROM r JOIN h USING (sheet) WHERE row_no > header_row AND cells[1] IS NOT NULL)
+SELECT sheet, string_agg(label, '|' ORDER BY n) AS labels FROM l WHERE n <= 8 GROUP BY sheet""")
+def metric_labels(spark, d):
+    """The first eight labels below each header, as a hint of what the sheet holds."""
+    rows = _balance_rows(spark, d)
+    below = rows.join(sheets.header_rows(rows).select("sheet", "header_row"), "sheet").filter((F.col("row_no") > F.col("header_row")) & F.get("cells", F.lit(0)).isNotNull())
+    first = top_k(below.select("sheet", "row_no", F.get("cells", F.lit(0)).alias("label")), ["sheet"], [F.asc("row_no")], 8)
+    return first.groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), "|").alias("labels"))
+
+
+@query()
+def section_records(spark, d):
+    """Rows of every section of the balance sheet files, numbered from their own header; sections have no SQL."""
+    rows = _balance_rows(spark, d)
+    return sheets.section_rows(rows, sheets.sections(rows, sheets.header_rows(rows))).select("sheet", "row_no", F.size("cells").alias("n_cells"))

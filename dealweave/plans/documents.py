@@ -243,10 +243,13 @@ def sheet_records(spark, d):
 _KEYWORD_ROWS = ", ".join(f"({_q(t)}, [{', '.join(map(_q, ks))}])" for t, ks in TYPE_KEYWORDS.items())
 
 
-@query(f"""
+CLASSIFY_SQL = f"""
 WITH t AS (SELECT DISTINCT sheet_title AS title FROM (SELECT sheet_title FROM revenue_breakdown UNION ALL SELECT sheet_title FROM debt_schedule) WHERE sheet_title IS NOT NULL), k AS (SELECT * FROM (VALUES {_KEYWORD_ROWS}) v(doc_type, keywords)),
 s AS (SELECT title, doc_type, len(list_filter(keywords, lambda w: contains(lower(title), w))) AS hits FROM t, k), sc AS (SELECT title, doc_type, CASE WHEN hits > 0 THEN least(CAST(0.8 AS DOUBLE) + (hits - 1) * CAST(0.08 AS DOUBLE), 1.0) ELSE CAST(0.0 AS DOUBLE) END AS score FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, doc_type) AS n, score - lead(score, 1, 0.0) OVER (PARTITION BY title ORDER BY score DESC, doc_type) AS gap FROM sc)
+r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, doc_type) AS n, score - lead(score, 1, 0.0) OVER (PARTITION BY title ORDER BY score DESC, doc_type) AS gap FROM sc)"""
+
+
+@query(CLASSIFY_SQL + """
 SELECT title, CASE WHEN score < 0.3 THEN 'unknown' ELSE doc_type END AS doc_type, score, score >= 0.3 AND gap < 0.12 AS ambiguous FROM r WHERE n = 1""")
 def classify_titles(spark, d):
     """Document types of sheet titles by keywords, with doubt where the second type is close."""

@@ -71,3 +71,14 @@ def test_learned_aliases_and_coverage(spark):
     assert (c.n_fields, c.n_found, c.n_required, c.n_required_found, c.missing, c.pct) == (8, 2, 3, 1, "operatingCashFlow,freeCashFlow", 0.25)
     m = matching.mapping_confidence(*(F.lit(x) for x in (2, 4, 5, 7, 10, 1)))
     assert spark.range(1).select(m).first()[0] == pytest.approx(0.49)
+
+
+def test_sections_become_sheets_and_replace_their_parent(spark):
+    rows = spark.createDataFrame([("s", i, [str(i)]) for i in range(5)], "sheet string, row_no int, cells array<string>")
+    found = spark.createDataFrame([("s", 0, 0, None), ("s", 1, 3, "Two")], "sheet string, section int, header_row int, title string")
+    assert as_set(sheets.section_rows(rows, found).select("sheet", "row_no")) == {("s :: section 1", 0), ("s :: section 1", 1), ("s :: section 1", 2), ("s :: Two", 0), ("s :: Two", 1)}
+    whole = spark.createDataFrame([("a", "a"), ("b", "b")], "parent string, sheet string")
+    parts = spark.createDataFrame([("a", "a :: 1")], "parent string, sheet string")
+    assert as_set(sheets.prefer_sections(whole, parts)) == {("a", "a :: 1"), ("b", "b")}
+    typed = spark.createDataFrame([("Cover ", "x", 0.9), ("BS", "x", 0.9), ("IS", "unknown", 0.1), ("CF", "x", 0.2)], "sheet string, doc_type string, score double")
+    assert as_set(sheets.usable_sheets(typed).select("sheet")) == {("BS",)}

@@ -60,3 +60,11 @@ def test_decision_log(spark, tmp_path):
     assert log.save("a", change(("rules", "k", None, True), ("rules", "z", None, True)), 1) == 2
     assert as_set(log.state().select("scope", "key", "payload")) == {("a", "m", "w")}
     assert as_set(log.history()) == {("a", 1, 2, 0), ("a", 2, 0, 1)}
+
+
+def test_synthetic_rows_repeat(spark):
+    from dealweave.sources.synthetic import synthetic_statements
+
+    a, b = (synthetic_statements(spark, 20, seed=s) for s in (1, 1))
+    assert a.count() == 60 and as_set(a) == as_set(b) and as_set(a) != as_set(synthetic_statements(spark, 20, seed=2))
+    assert a.filter("cogs >= revenue or ebitda <= 0").count() == 0
