@@ -52,7 +52,3 @@ def aliases_table(spark: SparkSession, doc_type: str = "balance_sheet", aliases:
     rows = [(f, a) for f, names in aliases.items() for a in names]
     return spark.createDataFrame([(doc_type, f, a, i + 1) for i, (f, a) in enumerate(rows)], "doc_type string, field_name string, alias string, ordinal int")
 
-
-def keywords_table(spark: SparkSession) -> DataFrame:
-    """``doc_type, keywords`` with the keywords as one array."""
-    return spark.createDataFrame(list(TYPE_KEYWORDS.items()), "doc_type string, keywords array<string>")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LEGAL_FORMS, word_overlap
+from ..functions.text import LEGAL_FORMS, entity_key, word_overlap
+from .graph import components
 
 
 def similar_pairs(df: DataFrame, keys: list[str], name: str, threshold: float) -> DataFrame:
@@ -53,19 +54,30 @@ def cluster_in_order(names: list[str], threshold: float) -> list[tuple[int, floa
 
 
 def greedy_clusters(df: DataFrame, keys: list[str], name: str, order: str, threshold: float) -> DataFrame:
-    """``<keys>, name, cluster, similarity`` of distinct names, clustered greedily per group in ``order``.
+    """``<keys>, name, cluster, similarity`` of distinct names, clustered greedily per group in ``order``; a cluster is
+    called by its first name.
 
-    Whom a name joins depends on the clusters before it, so a group's distinct names are walked by one task. The input is
-    reduced to distinct names first; only their number bounds a task, not that of the rows.
+    Whom a name joins depends on the clusters before it, but only on those it is like: names that no chain of likeness
+    connects never meet. So similar pairs are found first, their components are walked in order one by one, and a group
+    with a third of all names is as many tasks as it has components.
     """
+    named = df.select(*keys, F.col(name).alias("name"), F.col(order).alias("ord"), entity_key(F.col(name)).alias("k"))
+    named = named.withColumn("node", F.xxhash64(*keys, "k"))
+    pairs = similar_pairs(named.filter("k != ''"), keys, "k", threshold)
+    found = components(pairs.select(F.xxhash64(*keys, "key_a").alias("a"), F.xxhash64(*keys, "key_b").alias("b")))
+    named = named.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node", "k")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "name string", "cluster int", "similarity double"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "name string", "cluster string", "similarity double"])
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, name])
-        found = cluster_in_order(group[name].tolist(), threshold)
+        group = group.sort_values(["ord", "name"])
+        names = group["name"].tolist()
+        places = cluster_in_order(names, threshold)
+        first: dict[int, str] = {}
+        for n, (c, _) in zip(names, places):
+            first.setdefault(c, n)
         out = group[keys].reset_index(drop=True)
-        out["name"], out["cluster"], out["similarity"] = group[name].tolist(), [c for c, _ in found], [s for _, s in found]
+        out["name"], out["cluster"], out["similarity"] = names, [first[c] for c, _ in places], [s for _, s in places]
         return out
 
-    return df.select(*keys, name, order).groupBy(*keys).applyInPandas(walk, schema)
+    return named.groupBy(*keys, "comp").applyInPandas(walk, schema)

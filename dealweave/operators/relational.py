@@ -16,6 +16,24 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, keys: list[str], place: str, name: str, block: int = 65_536) -> DataFrame:
+    """Adds ``name``: the rank of a row in its group by the whole number ``place``, from 0, nulls first.
+
+    Rows are ranked within blocks of ``block`` places and moved up by the rows of the blocks before, so a group with a
+    third of all rows is ranked by many tasks; only a count per block is ranked as a whole.
+    """
+    # null keys and the block before all others (null places) are told by themselves
+    rows = df.withColumn("__blk", F.floor(F.col(place) / block).cast("bigint"))
+    counts = rows.groupBy(*keys, "__blk").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__blk")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__blk").alias("__b"), F.coalesce(before, F.lit(0)).alias("__start"))
+    same = rows["__blk"].eqNullSafe(starts["__b"])
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(starts[f"__k{i}"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "__blk").orderBy(F.asc_nulls_first(place)))
+    return rows.join(starts, same).withColumn(name, (F.col("__start") + rank - 1).cast("int")).select(*df.columns, name)
+
+
 def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per group: the one with the greatest ``order``, as a partial aggregation rather than a window."""
     rest = [c for c in df.columns if c not in keys]

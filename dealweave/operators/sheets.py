@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.periods import is_value_period, parse_period
+from .relational import numbered
 
 #: Rows among which a header is looked for, and rows below that support it.
 HEADER_SCAN, SUPPORT_ROWS = 8, 3
@@ -38,7 +39,7 @@ def sheet_rows(df: DataFrame, *, sheet: str, place: str, order: str, cells: list
     ``order`` stays."""
     rows = df.groupBy(F.col(sheet).alias("sheet"), F.col(place).alias("place")).agg(F.min_by(F.array(*(normalize_cell(F.col(c)) for c in cells)), order).alias("cells"))
     rows = rows.filter(F.exists("cells", lambda x: x.isNotNull()))
-    return rows.select("sheet", (F.row_number().over(Window.partitionBy("sheet").orderBy("place")) - 1).alias("row_no"), "cells")
+    return numbered(rows, ["sheet"], "place", "row_no").select("sheet", "row_no", "cells")
 
 
 def header_scores(rows: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from ..dims import aliases_table
 from ..functions.numeric import half_up, relative_difference, to_number
 from ..operators import sheets
-from ..operators.matching import match_labels
+from ..operators.matching import MAX_ALIASES, match_labels
 from ..operators.relational import best_by, penalty_fold, top_k, upsert, wildcard_anti
-from ..session import table
+from ..session import bounded_broadcast, table
 from .documents import _ROWS_SQL, CLASSIFY_SQL, MATCH_SQL, _balance_rows, classify_titles, labels
 from .problems import p3_wide
 from .problems_sql import P3_SQL
@@ -145,7 +145,8 @@ def evidence_named(spark, d):
     """Evidence whose type or field is a known field name: an OR of keys as the union of two equi semi joins."""
     e = table(spark, d, "evidence_resolver").select("evidence_id", "deal_id", F.lower("doc_type").alias("a"), F.lower("field_name").alias("b"))
     k = table(spark, d, "doc_fields").select(F.lower("field_name").alias("k")).distinct()
-    either = e.join(F.broadcast(k), F.col("a") == F.col("k"), "left_semi").unionByName(e.join(F.broadcast(k), F.col("b") == F.col("k"), "left_semi"))
+    k = bounded_broadcast(k, MAX_ALIASES)
+    either = e.join(k, F.col("a") == F.col("k"), "left_semi").unionByName(e.join(k, F.col("b") == F.col("k"), "left_semi"))
     return either.select("evidence_id", "deal_id").distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..dims import BALANCE_SHEET_ALIASES, FIELD_SCHEMA, TYPE_KEYWORDS, aliases_table, keywords_table, schema_table
+from ..dims import BALANCE_SHEET_ALIASES, FIELD_SCHEMA, TYPE_KEYWORDS, aliases_table, schema_table
 from ..functions.numeric import confidence_label, half_up, relative_difference, to_number, to_percent
 from ..functions.periods import describe_period, parse_period, year_in
 from ..functions.text import LABEL_EXPANSIONS, LEGAL_FORMS, NOISE_PHRASES, NOISE_WORDS, entity_key, humanize, keyword_signal, normalize_label, slug, strip_noise, word_overlap
@@ -254,7 +254,8 @@ SELECT title, CASE WHEN score < 0.3 THEN 'unknown' ELSE doc_type END AS doc_type
 def classify_titles(spark, d):
     """Document types of sheet titles by keywords, with doubt where the second type is close."""
     t = table(spark, d, "revenue_breakdown").select("sheet_title").unionByName(table(spark, d, "debt_schedule").select("sheet_title")).filter("sheet_title is not null").distinct().withColumnRenamed("sheet_title", "title")
-    sc = t.join(F.broadcast(keywords_table(spark))).select("title", "doc_type", keyword_signal(F.lower("title"), F.col("keywords"), 0.8, 0.08).alias("score"))
+    types = F.explode(F.array(*(F.struct(F.lit(n).alias("doc_type"), F.array(*map(F.lit, words)).alias("keywords")) for n, words in TYPE_KEYWORDS.items())))
+    sc = t.select("title", types.alias("k")).select("title", "k.doc_type", keyword_signal(F.lower("title"), F.col("k.keywords"), 0.8, 0.08).alias("score"))
     w = Window.partitionBy("title").orderBy(F.desc("score"), "doc_type")
     r = sc.withColumn("n", F.row_number().over(w)).withColumn("gap", F.col("score") - F.lead("score", 1, 0.0).over(w)).filter("n = 1")
     return r.select("title", F.when(F.col("score") < 0.3, "unknown").otherwise(F.col("doc_type")).alias("doc_type"), "score", ((F.col("score") >= 0.3) & (F.col("gap") < 0.12)).alias("ambiguous"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dealweave.operators import entities, relational as r
+from dealweave.operators.graph import components
 
 from support import as_set
 
@@ -71,5 +72,43 @@ def test_similar_pairs_equal_brute_force(spark):
 
 def test_greedy_clusters_compare_with_the_first_name(spark):
     assert [c for c, _ in entities.cluster_in_order(["Acme Steel Works Inc", "Acme Steel Works", "Steel Works", "Acme Steel", "Zed"], 0.66)] == [0, 0, 0, 0, 1]
-    df = frame(spark, [("g", "b c", 2), ("g", "a b c", 1), ("h", "a b c", 1)], "g string, n string, o int")
-    assert as_set(entities.greedy_clusters(df, ["g"], "n", "o", 0.6).select("g", "name", "cluster")) == {("g", "a b c", 0), ("g", "b c", 0), ("h", "a b c", 0)}
+    df = frame(spark, [("g", "b c", 2), ("g", "a b c", 1), ("h", "a b c", 1), ("g", "Inc.", 3), ("g", "zed", 4)], "g string, n string, o int")
+    assert as_set(entities.greedy_clusters(df, ["g"], "n", "o", 0.6).select("g", "name", "cluster")) == {("g", "a b c", "a b c"), ("g", "b c", "a b c"), ("h", "a b c", "a b c"), ("g", "Inc.", "Inc."), ("g", "zed", "zed")}
+
+
+def test_clusters_by_component_equal_clusters_of_the_whole_group(spark):
+    rng = random.Random(11)
+    words = ["term", "loan", "senior", "note", "bank", "line", "real", "estate", "bridge"]
+    names = list(dict.fromkeys(" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)))
+    whole = entities.cluster_in_order(names, 0.6)
+    first = {}
+    for n, (c, _) in zip(names, whole):
+        first.setdefault(c, n)
+    got = entities.greedy_clusters(frame(spark, [("g", n, i) for i, n in enumerate(names)], "g string, n string, o int"), ["g"], "n", "o", 0.6)
+    assert as_set(got.select("name", "cluster")) == {(n, first[c]) for n, (c, _) in zip(names, whole)}
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)]
+    got = {x.node: x.comp for x in components(frame(spark, edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for x in parent}
+    assert components(frame(spark, [], "a long, b long")).count() == 0
+
+
+def test_numbering_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(k, p) for k in ("a", "b", None) for p in rng.sample([*range(-50, 300), None], 40)]
+    got = r.numbered(frame(spark, rows, "k string, p int"), ["k"], "p", "n", block=16)
+    want = {(k, p, i) for k in ("a", "b", None) for i, p in enumerate(sorted((p for x, p in rows if x == k), key=lambda v: (v is not None, v or 0)))}
+    assert as_set(got.select("k", "p", "n")) == want
