@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import checkpointed
 from .edit import within
 
@@ -242,28 +243,6 @@ def typo_edges(nodes: DataFrame) -> DataFrame:
     return met.filter(rare).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, comp``: the connected components of ``a, b``, named by their smallest node.
-
-    Labels spread two edges a round until none changes; each round is checkpointed in the shared folder. Only whether
-    something changed comes to the driver.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
-
-    def spread(labels: DataFrame) -> DataFrame:
-        labels = labels.select("node", "comp")
-        near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
-        return labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-
-    while True:
-        labels = checkpointed(spread(spread(labels)))
-        moved = labels.filter("comp != was").limit(1).count()
-        labels = labels.select("node", "comp")
-        if not moved:
-            return labels
-
-
 def _shrunk(nodes: DataFrame) -> DataFrame:
     """``code, kind, node, guard``: what full names can shrink to; ``code`` stands for group, kind and form."""
     words = F.split("key", " ")

@@ -1,10 +1,9 @@
-import itertools
 import random
 
 import pytest
 
 from dealweave.llm.edit import within
-from dealweave.llm.names import SegmentIndex, components, link_names, read_firm_or_person, read_instrument, variant_pairs
+from dealweave.llm.names import SegmentIndex, link_names, read_firm_or_person, read_instrument, variant_pairs
 
 
 @pytest.mark.parametrize(
@@ -71,21 +70,3 @@ def test_pairs_repeats_long_names_and_empty(spark):
     out, _ = linked(spark, [("d", "Seller Note"), ("d", "Seller Note"), ("d", "VENDOR NOTE (SELLER)"), ("d", "Seller Note "), ("d", "y" * 50_000)], "instrument")
     assert {tuple(r) for r in variant_pairs(out, "row_id").collect()} == {(0, 2), (1, 2), (0, 3), (1, 3), (2, 3)}
     assert linked(spark, [])[1] == set()
-
-
-def test_components_equal_union_find(spark):
-    rng = random.Random(2)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    parent = {x: x for e in edges for x in e}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    assert got == {x: root(x) for x in parent}
-    assert all(got[a] == got[b] for a, b in itertools.chain(edges))
