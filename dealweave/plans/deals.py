@@ -300,7 +300,7 @@ def as_of_purchase(spark, d):
 
 
 @query("""
-, band AS (SELECT c_nationkey AS deal, width_lo, width_lo + 2500.0 AS width_hi FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest([-1000.0, 1500.0, 4000.0, 6500.0, 9000.0]) AS width_lo))
+, band AS (SELECT c_nationkey AS deal, width_lo, width_lo + 2500.0 AS width_hi FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest([CAST(-1000 AS DOUBLE), 1500, 4000, 6500, 9000]) AS width_lo))
 SELECT deal, width_lo AS lo, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS balance FROM customer JOIN band ON deal = c_nationkey AND c_acctbal >= width_lo AND c_acctbal < width_hi GROUP BY 1, 2""", facts=True)
 def balance_bands(spark, d):
     """Customers in each deal's bands of balances, by a banded range join."""

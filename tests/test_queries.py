@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 
 from support import SF, duck, rows
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
@@ -19,6 +20,8 @@ def test_query_matches_sql(spark, con, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+    types = {r[0]: r[1] for r in con.execute("DESCRIBE " + SQL[name]).fetchall()}
+    assert {c: DUCK_TYPES.get(t, t) for c, t in QUERIES[name](spark, SF).dtypes} == types
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
