@@ -67,7 +67,7 @@ def rate_cells(df: DataFrame) -> DataFrame:
     whole = F.regexp_replace(F.regexp_extract("__text", pattern, 1), ",", "").try_cast("decimal(28,8)")
     part = F.regexp_extract("__text", pattern, 2).try_cast("decimal(10,0)") / F.regexp_extract("__text", pattern, 3).try_cast("decimal(10,0)")
     df = df.withColumn("__unit", F.trim(F.regexp_extract("__text", pattern, 4)))
-    df = df.withColumn("__number", (whole + F.coalesce(part, F.lit(0))).cast("decimal(28,8)"))
+    df = df.withColumn("__number", (whole + F.coalesce(part, F.lit(0))).try_cast("decimal(28,8)"))
     own = F.when(F.col("__unit").rlike(r"^(?:bps?|b\.p\.|basis points?)\b|^b\.p\."), F.lit("0.01").cast("decimal(10,4)")).when(F.col("__unit").rlike(r"^(?:%|percent|per cent|pct)"), F.lit("1").cast("decimal(10,4)"))
     times = (
         F.when(F.col("__unit").rlike(r"/ ?mo\b|per month|p\.m\.|monthly|/month|a month"), 12)
@@ -121,7 +121,8 @@ def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, val
 
     Defined results: blanks, placeholders and texts that are no amount give no row, nulls neither; null titles, names and
     shares state nothing; a null file is one file; a total without customers is in the file's stated unit; a zero has no
-    level; repeated rows are each converted; other columns of ``df`` are ignored, whatever their names.
+    level; an amount too large for a BIGINT of dollars has null dollars; repeated rows are each converted; other columns of
+    ``df`` are ignored, whatever their names.
 
     Plan: statements and the reference level are partial aggregates per file (a few numbers each), joined back on the
     file, where the adaptive skew join splits a hot file; then one shuffle on (file, block) for the search.
@@ -163,7 +164,7 @@ def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, val
     power = F.element_at(F.create_map(*(x for e in range(-6, 13, 3) for x in (F.lit(e), F.lit(f"{10.0**e:.6f}").cast("decimal(20,6)")))), F.col("decades"))
     return found.filter("__number is not null").withColumn("decades", decades).select(
         "row_id", F.col("__number").alias("number"), "decades",
-        F.round(F.col("__number").cast("decimal(22,6)") * power.cast("decimal(16,6)"), 0).cast("bigint").alias("dollars"), "level_shift",
+        F.round(F.try_multiply(F.col("__number").try_cast("decimal(22,6)"), power.cast("decimal(16,6)")), 0).try_cast("bigint").alias("dollars"), "level_shift",
         F.when(F.col("__own").isNotNull(), "cell").when(turned & (F.col("level_shift") != 0), "level").when(F.col("__stated").isNotNull(), "stated").otherwise("default").alias("evidence"),
     )
 
@@ -197,6 +198,6 @@ def rates_in_percent(df: DataFrame, *, row_id: str, file: str, place: str, value
     points = F.when(fraction, F.lit("100").cast("decimal(10,4)")).otherwise(F.col("__reading"))
     return found.filter("__number is not null").withColumn("points", points).select(
         "row_id", F.col("__number").alias("number"), "points", F.col("__times").alias("times"),
-        F.round(F.col("__number").cast("decimal(20,8)") * F.col("points") * F.col("__times") * 1000, 0).cast("bigint").alias("milli_percent"), "level_shift",
+        F.round(F.try_multiply(F.try_multiply(F.col("__number").try_cast("decimal(18,8)"), F.col("points")), (F.col("__times") * 1000).cast("decimal(7,0)")), 0).try_cast("bigint").alias("milli_percent"), "level_shift",
         F.when(F.col("__own").isNotNull(), "cell").when(~bare, "stated").when(fraction & (F.col("level_shift") == -2), "level").when(fraction, "below one").otherwise("default").alias("evidence"),
     )

@@ -114,11 +114,11 @@ def value_keys(df: DataFrame) -> DataFrame:
 
 #: The Spark type of a wide column and how its key becomes one.
 _TYPED = {
-    "amount": ("bigint", lambda k: k.cast("bigint")),
-    "percent": ("decimal(20,2)", lambda k: (k.cast("decimal(20,0)") / 100).cast("decimal(20,2)")),
-    "integer": ("bigint", lambda k: k.cast("bigint")),
-    "decimal": ("decimal(20,1)", lambda k: (k.cast("decimal(20,0)") / 10).cast("decimal(20,1)")),
-    "date": ("date", lambda k: k.cast("date")),
+    "amount": ("bigint", lambda k: k.try_cast("bigint")),
+    "percent": ("decimal(20,2)", lambda k: (k.try_cast("decimal(18,0)") / 100).cast("decimal(20,2)")),
+    "integer": ("bigint", lambda k: k.try_cast("bigint")),
+    "decimal": ("decimal(20,1)", lambda k: (k.try_cast("decimal(18,0)") / 10).cast("decimal(20,1)")),
+    "date": ("date", lambda k: k.try_cast("date")),
     "text": ("string", lambda k: k),
 }
 
@@ -146,7 +146,7 @@ def stitch_wide(cells: DataFrame, attributes: list[Attribute], *, entity: str) -
 
     Defined results: rows with a null entity, an unknown label or an unreadable value give no cell (see ``typed_cells``);
     of several values the latest counts, whole ties going to the greatest key of ``latest``; an entity without any cell
-    has no row; an empty table gives an empty wide table; attribute columns never clash with input columns, as only the
+    has no row; a number beyond the range of its column's type is a null cell; an empty table gives an empty wide table; attribute columns never clash with input columns, as only the
     entity is carried over.
 
     Plan: one shuffle with map-side combine for the cells, so an entity or attribute with a third of all rows arrives

@@ -40,6 +40,12 @@ def test_many_entities_over_several_segments(spark, monkeypatch):
     assert wide.select("entity_ordinal").distinct().count() == 50
 
 
+def test_huge_numbers_and_long_texts_do_not_fail(spark):
+    rows = [("a", "1-30", "9" * 21, 0), ("a", "90+", "9" * 40, 0), ("a", "top 5 %", "9" * 20, 0), ("a", "ccy", "z" * 100_000, 0), ("a", "m" * 100_000, "1", 0), ("a", "# invoices", "7", 0), ("a", "dso", "9" * 20, 0)]
+    got = stitch_wide(cells(spark, rows), ATTRS, entity="file_id").collect()[0]
+    assert got.invoice_count == 7 and got.days_1_30 is None and got.top5_pct is None and got.dso_days is None and len(got.currency_code) == 100_000
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert stitch_wide(cells(spark, []), ATTRS, entity="file_id").count() == 0
     df = spark.createDataFrame([(1, "a", "1-30", "3", dt.datetime(2024, 1, 1), "x", 9)], SCHEMA + ", __bucket string, days_1_30 int")
