@@ -69,12 +69,13 @@ ALIASES: dict[str, tuple[str, ...]] = {
 #: What stands before and after a label without belonging to it.
 BEFORE = r"^\s*(?:gl\s*#?\s*\d+\s*[:.\-]\s*|\d{3,6}\s+|\d{1,3}\s*[.)]\s+|[-–—>*•·+]+\s+)"
 AFTER = r"(?:\s*[(\[](?:see )?notes? \d+[)\]]|\s*\[\d+\]|\s*\*+|\s*:|\s*\.{3,}|\s+-\s+unaudited|\s+per tb|,\s*net|\s*=)\s*$"
-_BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
+_BEFORE, _AFTER, _RUNS = re.compile(BEFORE), re.compile(AFTER), re.compile(r"([.:*=\-–—>•·+])\1{3,}")
 
 
 def plain_label(text: str) -> str:
     """Letters, digits and single spaces of a label without what was put around it (account numbers, bullets, notes)."""
-    s = unicodedata.normalize("NFKC", text).lower().replace("_", " ").strip()
+    s = " ".join(unicodedata.normalize("NFKC", text).lower().replace("_", " ").split())
+    s = _RUNS.sub(lambda m: m.group()[:3], s)  # long runs of signs would be tried from every place in them
     s = _BEFORE.sub("", s, count=1)
     while (t := _AFTER.sub("", s)) != s and t.strip():
         s = t

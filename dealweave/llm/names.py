@@ -58,7 +58,7 @@ def _words(text: str) -> list[str]:
 
 def read_firm_or_person(raw: str) -> tuple[str, str, str]:
     """Key, guard and style (full, initial, acronym) of a firm's or person's name."""
-    plain = unicodedata.normalize("NFKC", raw).strip()
+    plain = " ".join(unicodedata.normalize("NFKC", raw).split())
     s = " ".join(_NOISE.sub(" ", plain.lower()).split()).strip(" -,")
     short = re.sub(r"(?i)\blegacy contract\b|\(main acct\)|#\s*\d+|-\s*ap dept\b", "", plain).strip(" -,.")
     if _ACRONYM.fullmatch(short):
@@ -144,7 +144,7 @@ _KINDS_NEAR = SegmentIndex(list(DEBT_KINDS))
 
 def read_instrument(raw: str) -> tuple[str, str, str]:
     """Key (the kind of loan), guard (tranche, series or number) and style of a debt instrument's name; lenders are left out."""
-    s = unicodedata.normalize("NFKC", raw).lower().strip()
+    s = " ".join(unicodedata.normalize("NFKC", raw).lower().split())
     s = s.replace("t/l", "tl").replace("r/e", "re").replace("s/h", "sh").replace("p-note", "pnote")
     s = _NOISE.sub(" ", s)
     if (m := re.fullmatch(r"(.*\S)\s*\(([^()\s]+)\)", s)) and DEBT_SHORT.get(re.sub(r"\W", "", m[2]), re.sub(r"\W", "", m[2])).split()[0] not in _KIND_WORDS and not _KINDS_NEAR.near(m[2]) and not any(_is_word(m[2], k) for k in _KIND_WORDS):

@@ -71,3 +71,12 @@ def test_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, ID["Cash"], 0), (4, ID["Cash"], 1), (4, ID["Cash"], 1), (5, None, None), (None, ID["Goodwill"], 0)], key=str)
     assert map_labels(df.limit(0), list(LABELS.items()), id_col="row_id", text_col="c0").count() == 0
     assert map_labels(df, [], id_col="row_id", text_col="c0").filter("item_id is not null").count() == 0
+
+
+@pytest.mark.parametrize("text", ["Cash" + " " * 100_000 + "x", "Cash " + "." * 100_000 + " x", ":" * 100_000 + "x", "(" * 100_000, "- " * 50_000, "1" * 100_000, "cash (note 1" * 10_000])
+def test_long_odd_texts_end_soon(text):
+    assert LabelMatcher(label_paths(LABELS)).match(text) == (None, None)
+
+
+def test_long_runs_of_dots_are_decoration():
+    assert LabelMatcher(label_paths(LABELS)).match("Cash " + "." * 100_000)[0] == ID["Cash"]

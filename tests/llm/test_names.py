@@ -70,3 +70,9 @@ def test_pairs_repeats_long_names_and_empty(spark):
     out, _ = linked(spark, [("d", "Seller Note"), ("d", "Seller Note"), ("d", "VENDOR NOTE (SELLER)"), ("d", "Seller Note "), ("d", "y" * 50_000)], "instrument")
     assert {tuple(r) for r in variant_pairs(out, "row_id").collect()} == {(0, 2), (1, 2), (0, 3), (1, 3), (2, 3)}
     assert linked(spark, [])[1] == set()
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 100_000 + "b", "a - " * 20_000, "(" * 50_000, "x" * 100_000, ", " * 50_000, "unit " * 20_000, "'" * 50_000])
+def test_long_odd_names_end_soon(text):
+    for read in (read_firm_or_person, read_instrument):
+        assert len(read(text)) == 3
