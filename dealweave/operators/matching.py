@@ -47,8 +47,10 @@ def match_labels(labels: DataFrame, aliases: DataFrame, *, label: str = "label")
     longer alias, then by the registry's order. The registry is broadcast behind a check of its size.
     """
     met = analyzed(labels, label).filter("norm != ''").join(bounded_broadcast(alias_table(aliases), MAX_ALIASES), "doc_type")
-    met = met.withColumn("score", _score()).filter("score is not null")
-    best = met.groupBy("doc_type", label, "field_name").agg(F.max_by(F.struct("a_norm", "score", "ordinal"), F.struct("score", -F.col("ordinal"))).alias("b"))
+    # a score needs a word or the whole alias in common: the cheap test first, as a filter on the score would work it out twice
+    near = F.arrays_overlap("words", "a_words") | F.contains(F.col("norm"), F.col("a_norm")) | F.contains(F.col("core"), F.col("a_norm")) | F.contains(F.col("norm"), F.col("a_core")) | F.contains(F.col("core"), F.col("a_core"))
+    met = met.filter(near).withColumn("score", _score())
+    best = met.groupBy("doc_type", label, "field_name").agg(F.expr("max_by(struct(a_norm, score, ordinal), struct(score, -ordinal)) filter (where score is not null)").alias("b")).filter("b is not null")
     best = best.select("doc_type", label, "field_name", F.col("b.a_norm").alias("alias"), F.col("b.score").alias("score"), F.col("b.ordinal").alias("ordinal"))
     w = Window.partitionBy("doc_type", label).orderBy(F.desc("score"), F.desc(F.length("alias")), "ordinal")
     return best.select("doc_type", label, "field_name", "alias", "score", F.row_number().over(w).alias("match_rank"))
