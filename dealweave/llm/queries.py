@@ -9,7 +9,7 @@ from ..operators.units import NOTE_ROW, TOTAL_ROW
 from ..session import bounded_broadcast, bounded_collect, table
 from .canonical import AFTER, ALIASES, BEFORE, label_paths, map_labels
 from .leakage import leaked_items
-from .lookalikes import one_form, same_look_pairs
+from .lookalikes import FOLD, TO_LATIN, one_form, same_look_pairs
 from .mixing import SourceTarget, mix, shares_reached
 from .names import link_names, variant_pairs
 from .representative import Bundle, best_records, spelling_key
@@ -149,8 +149,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(one_form(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", with_text=False), "doc_id")
 
 
+def p9_sql() -> str:
+    """SQL of p9_found for texts in Latin script: every look-alike becomes its letter, then equal texts are paired."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    single = {chr(c): v for c, v in FOLD.items() if v is not None and len(v) == 1} | TO_LATIN
+    gone = "".join(chr(c) for c, v in FOLD.items() if v is None and c != 0)
+    looks = "replace(text, chr(13) || chr(10), chr(10))"
+    for c, v in sorted((chr(c), v) for c, v in FOLD.items() if v is not None and len(v) > 1):
+        looks = f"replace({looks}, {q(c)}, {q(v)})"
+    looks = f"nfc_normalize(translate({looks}, {q(''.join(single) + gone)}, {q(''.join(single.values()))}))"
+    return f"""
+WITH d AS (SELECT doc_id, text, {looks} AS looks FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text
+"""
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
-ORACLE_SQL = {"p1_found": p1_sql(), "p5_found": P5_SQL}
+ORACLE_SQL = {"p1_found": p1_sql(), "p5_found": P5_SQL, "p9_found": p9_sql()}
