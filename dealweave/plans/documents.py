@@ -290,10 +290,11 @@ def evidence_selected(spark, d):
 c AS (SELECT r.deal_id, r.concept_key, evidence_id, abs(value - v0) / greatest(abs(value), abs(v0), 1.0) AS variance, period_key <> p0 AS other_period, abs(conf - c0) AS gap FROM r JOIN s USING (deal_id, concept_key) WHERE n BETWEEN 2 AND 13)
 SELECT deal_id, concept_key, evidence_id, floor(variance * 10000 + 0.5) / 10000 AS variance, CASE WHEN variance > 0.09 THEN 'high' WHEN variance > 0.05 OR other_period THEN 'medium' ELSE 'low' END AS severity FROM c WHERE variance > 0.05 OR gap < 0.08 OR other_period""")
 def evidence_conflicts(spark, d):
-    """The next records of each concept that disagree with the leading one in value or period."""
-    r = top_k(_evidence(spark, d), ["deal_id", "concept_key"], _best_first(), 13)
-    s = r.filter("rank = 1").select("deal_id", "concept_key", F.col("value").alias("v0"), F.col("period_key").alias("p0"), F.col("conf").alias("c0"))
-    c = r.filter("rank > 1").join(s, ["deal_id", "concept_key"]).withColumn("variance", relative_difference(F.col("value"), F.col("v0"))).withColumn("other_period", F.col("period_key") != F.col("p0"))
+    """Every other record of each concept that disagrees with the leading one in value or period."""
+    e = _evidence(spark, d)
+    first = best_by(e, ["deal_id", "concept_key"], [F.col("reviewed_n"), F.col("conf"), F.col("seen"), -F.col("evidence_id")])
+    s = first.select("deal_id", "concept_key", F.col("evidence_id").alias("e0"), F.col("value").alias("v0"), F.col("period_key").alias("p0"), F.col("conf").alias("c0"))
+    c = e.join(s, ["deal_id", "concept_key"]).filter("evidence_id != e0").withColumn("variance", relative_difference(F.col("value"), F.col("v0"))).withColumn("other_period", F.col("period_key") != F.col("p0"))
     c = c.filter((F.col("variance") > 0.05) | (F.abs(F.col("conf") - F.col("c0")) < 0.08) | F.col("other_period"))
     return c.select("deal_id", "concept_key", "evidence_id", half_up(F.col("variance"), 4).alias("variance"), F.when(F.col("variance") > 0.09, "high").when((F.col("variance") > 0.05) | F.col("other_period"), "medium").otherwise("low").alias("severity"))
 
