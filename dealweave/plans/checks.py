@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..dims import aliases_table
 from ..functions.numeric import half_up, relative_difference, to_number
+from ..functions.periods import to_day
 from ..operators import sheets
 from ..operators.matching import MAX_ALIASES, match_labels
 from ..operators.relational import best_by, penalty_fold, top_k, upsert, wildcard_anti
@@ -166,10 +167,10 @@ def top_shares_stated(spark, d):
 WITH m AS (SELECT deal_id, file_id, coalesce(min(CASE WHEN regexp_matches(maturity, '^\\d{4}-\\d{2}-\\d{2}$') THEN maturity END), '') AS iso, count(*) AS n, count(annual_debt_service) AS serviced, count(*) FILTER (WHERE maturity IS NULL) AS undated FROM debt_schedule WHERE instrument IS NOT NULL GROUP BY 1, 2)
 SELECT deal_id, file_id, iso AS nearest, n, serviced, undated FROM m""")
 def debt_files(spark, d):
-    """Instruments, nearest ISO maturity and gaps of each debt file."""
+    """Instruments, nearest maturity of either date style and gaps of each debt file."""
     m = table(spark, d, "debt_schedule").filter("instrument is not null")
-    iso = F.when(F.col("maturity").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("maturity"))
-    return m.groupBy("deal_id", "file_id").agg(F.coalesce(F.min(iso), F.lit("")).alias("nearest"), F.count("*").alias("n"), F.count("annual_debt_service").alias("serviced"), F.count_if(F.col("maturity").isNull()).alias("undated"))
+    nearest = F.min(to_day(F.col("maturity"))).cast("string")
+    return m.groupBy("deal_id", "file_id").agg(F.coalesce(nearest, F.lit("")).alias("nearest"), F.count("*").alias("n"), F.count("annual_debt_service").alias("serviced"), F.count_if(F.col("maturity").isNull()).alias("undated"))
 
 
 @query("""

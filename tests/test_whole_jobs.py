@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from dealweave.plans import documents
+from dealweave.plans import checks, documents
 
 from support import as_set
 
@@ -16,3 +16,10 @@ def test_conflicts_beyond_the_thirteenth_record(spark, tmp_path):
     spark.createDataFrame(far + near, EVIDENCE).write.parquet(f"{tmp_path}/evidence_resolver.parquet")
     want = {("d", "revenue", i, 0.0, "low") for i in range(1, 20)} | {("d", "revenue", 90, 0.8, "high"), ("d", "revenue", 91, 0.0, "medium")}
     assert as_set(documents.evidence_conflicts(spark, str(tmp_path))) == want
+
+
+def test_nearest_maturity_reads_both_date_styles(spark, tmp_path):
+    rows = [("d", "mixed", "a", "2027-01-31", "5"), ("d", "mixed", "b", "3/4/2026", None), ("d", "slashed", "a", "12/1/2030", None), ("d", "slashed", "b", "2/10/2029", "1"), ("d", "none", "a", None, "1"), ("d", "none", None, "2020-01-01", "1")]
+    spark.createDataFrame(rows, "deal_id string, file_id string, instrument string, maturity string, annual_debt_service string").write.parquet(f"{tmp_path}/debt_schedule.parquet")
+    want = {("d", "mixed", "2026-03-04", 2, 1, 0), ("d", "slashed", "2029-02-10", 2, 1, 0), ("d", "none", "", 1, 1, 1)}
+    assert as_set(checks.debt_files(spark, str(tmp_path))) == want
