@@ -198,8 +198,8 @@ WITH e AS (SELECT evidence_id, concept_key, lower(doc_type) AS doc, coalesce(sou
 r AS (SELECT * FROM (VALUES ('revenue', 'projections', ''), ('ebitda', 'qoe_report', '::Sheet1::::page-1'), ('totalDebt', 'debt_schedule', '::FS::::page-2')) v(concept_key, doc, ref))
 SELECT evidence_id, concept_key FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.concept_key = e.concept_key AND r.doc = e.doc AND (r.ref = '' OR r.ref = e.ref))""")
 def evidence_unsuppressed(spark, d):
-    """Evidence that no suppression rule hits; a rule without a reference holds for all of its document type."""
-    e = table(spark, d, "evidence_resolver").filter("doc_type is not null").select("evidence_id", "concept_key", F.lower("doc_type").alias("doc"), F.coalesce("source_ref", F.lit("")).alias("ref"))
+    """Evidence that no suppression rule hits, also without a type; a rule without a reference holds for all of its document type."""
+    e = table(spark, d, "evidence_resolver").select("evidence_id", "concept_key", F.lower("doc_type").alias("doc"), F.coalesce("source_ref", F.lit("")).alias("ref"))
     rules = spark.createDataFrame([("revenue", "projections", ""), ("ebitda", "qoe_report", "::Sheet1::::page-1"), ("totalDebt", "debt_schedule", "::FS::::page-2")], "concept_key string, doc string, ref string")
     return wildcard_anti(e, rules, ["concept_key", "doc"], "ref").select("evidence_id", "concept_key")
 

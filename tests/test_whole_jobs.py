@@ -23,3 +23,9 @@ def test_nearest_maturity_reads_both_date_styles(spark, tmp_path):
     spark.createDataFrame(rows, "deal_id string, file_id string, instrument string, maturity string, annual_debt_service string").write.parquet(f"{tmp_path}/debt_schedule.parquet")
     want = {("d", "mixed", "2026-03-04", 2, 1, 0), ("d", "slashed", "2029-02-10", 2, 1, 0), ("d", "none", "", 1, 1, 1)}
     assert as_set(checks.debt_files(spark, str(tmp_path))) == want
+
+
+def test_evidence_without_a_type_is_not_suppressed(spark, tmp_path):
+    rows = [(1, "d", "revenue", None, "", 1.0, None, 0.5, True, None), (2, "d", "revenue", "Projections", "", 1.0, "x", 0.5, True, None), (3, "d", "ebitda", "qoe_report", "", 1.0, "x", 0.5, True, None), (4, "d", None, None, "", 1.0, None, 0.5, True, None)]
+    spark.createDataFrame(rows, EVIDENCE).write.parquet(f"{tmp_path}/evidence_resolver.parquet")
+    assert as_set(checks.evidence_unsuppressed(spark, str(tmp_path))) == {(1, "revenue"), (3, "ebitda"), (4, None)}
