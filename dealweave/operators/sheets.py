@@ -6,8 +6,10 @@ A sheet is a group of rows (``sheet`` key) in the order of ``place``; its cells
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,50 +125,95 @@ def unpivot_periods(rows: DataFrame, headers: DataFrame) -> DataFrame:
 _PERIOD_RE, _NUMBER_RE = re.compile(PERIOD_HEADER), re.compile(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*")
 
 
-def find_sections(cells: list[list[str | None]], header_row: int, min_rows: int = 3) -> list[tuple[int, str | None]]:
-    """(header row, title) of every section of a sheet: a header like the current one, or one that a title line precedes."""
-    number = lambda v: bool(_NUMBER_RE.fullmatch(re.sub(r"[,$()%]", "", v)))
+def _number(v: str) -> bool:
+    return bool(_NUMBER_RE.fullmatch(re.sub(r"[,$()%]", "", v)))
+
+
+def _row_marks(cells: list[list[str | None]], own: int | None = None) -> list[tuple[bool, str | None, list[str]]]:
+    """(like a header, title, words) of the first ``own`` rows: what sections need to know of a row. A title is a line of one
+    text before a row like a header; only the next ``SUPPORT_ROWS + 1`` rows bear on a row."""
     filled = [[v for v in r if v] for r in cells]
 
     def header_like(i: int) -> bool:
         row = filled[i]
-        if len(row) < 2 or (all(map(number, row)) and not any(_PERIOD_RE.search(v) for v in row)):
+        if len(row) < 2 or (all(map(_number, row)) and not any(_PERIOD_RE.search(v) for v in row)):
             return False
         below = cells[i + 1 : i + 1 + SUPPORT_ROWS]
         return sum(any(k < len(r) and r[k] for r in below) for k in range(len(cells[i]))) >= max(2, min(len(row), 3))
 
-    def alike(i: int, j: int) -> bool:
-        a, b = ({re.sub(r"\s+", " ", v.lower().strip()) for v in filled[k]} for k in (i, j))
-        return bool(a and b) and len(a & b) >= min(len(a), len(b), 2)
+    n = len(cells) if own is None else own
+    like = [header_like(i) for i in range(min(n + 1, len(cells)))] + [False]
+    title = lambda i: filled[i][0] if len(filled[i]) == 1 and not _number(filled[i][0]) and like[i + 1] else None
+    return [(like[i], title(i), sorted({re.sub(r"\s+", " ", v.lower().strip()) for v in filled[i]})) for i in range(n)]
+
+
+class _Walk:
+    """Finds the sections of one sheet from its marks in order, from the header row on; holds no rows."""
+
+    def __init__(self, header_row: int, words: list[str], min_rows: int = 3):
+        self.start, self.words, self.title, self.section, self.min_rows = header_row, set(words), None, 0, min_rows
 
-    starts: list[tuple[int, str | None]] = [(header_row, None)]
-    title = None
-    for i in range(header_row + 1, len(cells) - 1):
-        if len(filled[i]) == 1 and not number(filled[i][0]) and header_like(i + 1):
-            title = filled[i][0]
-        elif header_like(i) and i - starts[-1][0] >= min_rows and (title or alike(starts[-1][0], i)):
-            starts.append((i, title))
-            title = None
-    return starts
+    def begins(self, row: int, header_like: bool, title: str | None, words: list[str]) -> tuple[bool, str | None]:
+        """Whether a row begins a section, and its title."""
+        if title is not None:
+            self.title = title
+        elif header_like and row - self.start >= self.min_rows and (self.title or self._alike(words)):
+            found, self.start, self.words, self.title, self.section = self.title, row, set(words), None, self.section + 1
+            return True, found
+        return False, None
+
+    def _alike(self, words: list[str]) -> bool:
+        return bool(self.words and words) and len(self.words.intersection(words)) >= min(len(self.words), len(words), 2)
+
+
+def find_sections(cells: list[list[str | None]], header_row: int, min_rows: int = 3) -> list[tuple[int, str | None]]:
+    """(header row, title) of every section of a sheet: a header like the current one, or one that a title line precedes."""
+    marks = _row_marks(cells)
+    walk = _Walk(header_row, marks[header_row][2], min_rows)
+    found = ((i, *walk.begins(i, *marks[i])) for i in range(header_row + 1, len(cells)))
+    return [(header_row, None), *((i, title) for i, begins, title in found if begins)]
 
 
 def sections(rows: DataFrame, headers: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``sheet, section, header_row, title``: where each sheet splits into sections.
 
-    The split depends on the section before, so a sheet is walked in order by one task. A sheet of more than ``max_rows``
-    rows is walked in blocks of that many, so that no task holds an unbounded one; a block begins a section.
+    Rows are marked in blocks of ``max_rows`` places, each with the few rows after it, so a long sheet is marked by many
+    tasks. The split depends on the section before, so the marks of a sheet are then walked in order as one stream, of which
+    a task holds one batch; the result does not depend on ``max_rows``.
     """
-    marked = rows.join(headers.select("sheet", "header_row"), "sheet").withColumn("block", F.floor(F.col("row_no") / max_rows).cast("int"))
-    kind = rows.schema["sheet"].dataType.simpleString()
+    kind, block = rows.schema["sheet"].dataType.simpleString(), F.floor(F.col("row_no") / max_rows).cast("int")
+    reach = F.floor((F.col("row_no") - SUPPORT_ROWS - 1) / max_rows).cast("int")
+    placed = rows.join(headers.select("sheet", "header_row"), "sheet").filter(F.col("row_no") >= F.col("header_row"))
+    placed = placed.withColumn("own", block).withColumn("block", F.explode(F.sequence(F.greatest(reach, F.lit(0)), block)))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row_no")
-        first, base = int(group["row_no"].iloc[0]), int(group["header_row"].iloc[0])
-        found = find_sections([list(r) for r in group["cells"]], max(0, base - first))
-        return pd.DataFrame({"sheet": group["sheet"].iloc[0], "header_row": [first + i for i, _ in found], "title": [t for _, t in found]})
-
-    out = marked.groupBy("sheet", "block").applyInPandas(walk, f"sheet {kind}, header_row int, title string")
-    return out.select("sheet", (F.row_number().over(Window.partitionBy("sheet").orderBy("header_row")) - 1).alias("section"), "header_row", "title")
+        own = group[group["own"] == group["block"]]
+        marks = _row_marks([list(r) for r in group["cells"]], len(own))
+        column = lambda k, kind: pd.Series([m[k] for m in marks], own.index, kind)
+        out = pd.DataFrame({"sheet": own["sheet"], "row_no": own["row_no"], "first": own["row_no"] == own["header_row"], "header_like": column(0, bool), "title": column(1, object), "words": column(2, object)})
+        return out[out["first"] | out["header_like"] | out["title"].notna()]
+
+    marks = placed.groupBy("sheet", "block").applyInPandas(mark, f"sheet {kind}, row_no int, first boolean, header_like boolean, title string, words array<string>")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            at, section, title = [], [], []
+            for i, (row, first, *m) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)))):
+                if first:
+                    now = _Walk(row, m[2])
+                begins, text = (True, None) if first else now.begins(row, *m)
+                if begins:
+                    at.append(i)
+                    section.append(now.section)
+                    title.append(text)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(section, pa.int32()), b.column(1).take(at), pa.array(title, pa.string())], names=["sheet", "section", "header_row", "title"])
+
+    # every sheet's first mark is its header row
+    ordered = marks.repartition("sheet").sortWithinPartitions("sheet", "row_no")
+    return ordered.mapInArrow(walk, f"sheet {kind}, section int, header_row int, title string")
 
 
 def section_rows(rows: DataFrame, found: DataFrame) -> DataFrame:

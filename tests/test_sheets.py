@@ -82,3 +82,19 @@ def test_sections_become_sheets_and_replace_their_parent(spark):
     assert as_set(sheets.prefer_sections(whole, parts)) == {("a", "a :: 1"), ("b", "b")}
     typed = spark.createDataFrame([("Cover ", "x", 0.9), ("BS", "x", 0.9), ("IS", "unknown", 0.1), ("CF", "x", 0.2)], "sheet string, doc_type string, score double")
     assert as_set(sheets.usable_sheets(typed).select("sheet")) == {("BS",)}
+
+
+def test_sections_do_not_depend_on_blocks(spark):
+    part = [["Metric", "2022"], ["Cash", "1"], ["Debt", "2"], ["Equity", "3"]]
+    sheets_ = {
+        "a": [["Note", None]] + part * 3 + [["Second table", None]] + part + [["Item", "2023"], ["Cash", "4"], ["Debt", "5"], ["3", "6"], ["Third", None], ["Item", "Value"], ["x", "y"], ["z", "1"]],
+        "b": part + [["Lone", None], ["Other", None], ["Head", "Q1"]] + part[1:] + [["End", None]],
+        "c": [["A", "2021"], ["Early", None]] + part + part,
+    }
+    base = {"a": 1, "b": 0, "c": 0}
+    want = {(k, n, *f) for k, cells in sheets_.items() for n, f in enumerate(sheets.find_sections(cells, base[k]))}
+    assert {("a", 0, 1, None), ("a", 1, 5, None), ("a", 3, 14, "Second table")} < want
+    rows = spark.createDataFrame([(k, i, c) for k, cells in sheets_.items() for i, c in enumerate(cells)], "sheet string, row_no int, cells array<string>")
+    h = spark.createDataFrame([(k, b, sheets_[k][b], 1.0) for k, b in base.items()], "sheet string, header_row int, header array<string>, score double")
+    for max_rows in (1, 3, 5, 14, 100):
+        assert as_set(sheets.sections(rows, h, max_rows)) == want
