@@ -49,6 +49,17 @@ def test_page_items(spark):
     assert [r.cells for r in with_pair_header(lines, ["file"]).orderBy("line_no").collect()][1] == ["Metric", "Value"]
 
 
+def test_two_columns_of_a_page_are_read_one_after_the_other(spark):
+    schema = "file string, page int, x double, y double, width double, text string, page_width double"
+    page = lambda f, width, n: [(f, 1, x, 700.0 - 20 * k + up, 30.0, f"{t}{k}", width) for k in range(n) for x, up, t in ((50.0, 0.0, "l"), (330.0, 1.0, "r"))]
+    lines = page_lines(spark.createDataFrame(page("two", 612.0, 12) + page("wide", 2000.0, 12) + page("few", 612.0, 11), schema), ["file"])
+    got = lambda f, df: [r.cells for r in df.filter(f"file = '{f}'").orderBy("line_no").collect()]
+    two = [[f"{t}{k}"] for t in "lr" for k in range(12)]
+    assert got("two", lines) == two and [r.line_no for r in lines.filter("file = 'two'").orderBy("line_no").collect()] == list(range(24))
+    assert got("wide", lines) == [[f"l{k}", f"r{k}"] for k in range(12)] and len(got("few", lines)) == 11
+    assert got("two", page_lines(spark.createDataFrame(page("two", 612.0, 12), schema).drop("page_width"), ["file"])) == two
+
+
 def test_decision_log(spark, tmp_path):
     log = DecisionLog(spark, str(tmp_path / "log"))
     change = lambda *rows: spark.createDataFrame(list(rows), "collection string, key string, payload string, deleted boolean")
