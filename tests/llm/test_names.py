@@ -3,7 +3,7 @@ import random
 import pytest
 
 from dealweave.llm.edit import within
-from dealweave.llm.names import SegmentIndex, link_names, read_firm_or_person, read_instrument, variant_pairs
+from dealweave.llm.names import SegmentIndex, link_names, meet, read_firm_or_person, read_instrument, variant_pairs, word_changes
 
 
 @pytest.mark.parametrize(
@@ -76,3 +76,54 @@ def test_pairs_repeats_long_names_and_empty(spark):
 def test_long_odd_names_end_soon(text):
     for read in (read_firm_or_person, read_instrument):
         assert len(read(text)) == 3
+
+
+def test_groups_in_memory_and_joined_give_the_same(spark):
+    rng = random.Random(3)
+    firsts = ["kestrel", "morland", "hadley", "brookwick", "sandhurst"]
+    rests = ["harbor packaging", "precision castings", "county water district", "foods"]
+    names = []
+    for _ in range(150):
+        n = f"{rng.choice(firsts)} {rng.choice(rests)}"
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(n))
+            n = rng.choice([n[:i] + n[i + 1 :], n[:i] + rng.choice("aeklr") + n[i:], n[:i] + n[i : i + 2][::-1] + n[i + 2 :], n[: max(9, i)], n])
+        names.append(n)
+    df = spark.createDataFrame([(i, "d", n) for i, n in enumerate(names)], "row_id long, deal string, who string")
+    out = [link_names(df, id_col="row_id", group_col="deal", name_col="who", in_memory=k).collect() for k in (1000, 1)]
+    assert sorted(map(tuple, out[0])) == sorted(map(tuple, out[1]))
+    assert len({r.entity for r in out[0]}) < len(set(names))
+
+
+def test_shared_segments_find_all_close_keys():
+    rng = random.Random(9)
+    keys = list({"".join(rng.choices("ab c", k=rng.randint(4, 16))).strip() for _ in range(150)})
+    keys = [" ".join(k.split()) for k in keys if k.split()]
+    nodes = {i: (k, "", "full") for i, k in enumerate(dict.fromkeys(keys))}
+    want = {(i, j) for i in nodes for j in nodes if i < j and word_changes(nodes[i][0], nodes[j][0]) is not None}
+    assert {(a, b) for kind, a, b, _, _ in meet(nodes) if kind == "t"} == want and want
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [("lunvale foods", "kunvale foods", True), ("lunvale foods", "lunvalefoods", True), ("lunvale county foods", "lunvael conty foods", True), ("3m foods", "3n foods", False), ("ab foods", "ac foods", False), ("unit 12 foods", "unit 13 foods", False),
+     ("a1b foods", "a1c foods", True), ("ashvale hotel", "ashley hotel", False), ("eli", "elj", True)],
+)
+def test_edits_anywhere_in_a_key(a, b, same):
+    assert (word_changes(a, b) is not None) == same
+
+
+def test_loans_of_one_kind_from_two_lenders(spark):
+    names = ["Calmore Capital Revolving Credit Facility", "Dovfield Bank Revolver", "Revolver", "RCF (Calmore)", "Selley Bank Seller Note", "Seller Note", "Sellwy Bank Vendor Note"]
+    _, groups = linked(spark, [("d", n) for n in names], "instrument")
+    assert groups == {frozenset({0, 3}), frozenset({1}), frozenset({2}), frozenset({4, 5, 6})}
+
+
+def test_mistyped_short_name_goes_with_the_short_name(spark):
+    _, groups = linked(spark, [("d", n) for n in ("Kestrel Harbor Packaging", "Kestrel Packaging", "Kestral Packaging")])
+    assert groups == {frozenset({0, 1, 2})}
+
+
+def test_abbreviations_that_no_table_lists(spark):
+    _, groups = linked(spark, [("d", n) for n in ("Rudwick Laundromat Franchise", "Rudwick Lndrmt Frnchs", "Rudwick Launch Fruit")])
+    assert groups == {frozenset({0, 1}), frozenset({2})}
