@@ -60,16 +60,25 @@ _NOISE = re.compile(r"\(main acct\)|#\s*\d+|-\s*ap dept\b|\blegacy contract\b|\(
 _ACRONYM = re.compile(r"[A-Z]{2,6}")
 
 
+_BREAKS, _MARKS = re.compile(r"[\s,;/()\[\]\"]+|(?<=\s)-+(?=\s)"), str.maketrans("", "", "'’.")
+_DECORATION = re.compile(r"(?i)\blegacy contract\b|\(main acct\)|#\s*\d+|-\s*ap dept\b")
+
+
 def _words(text: str) -> list[str]:
-    return [w for w in (re.sub(r"['’.]", "", w) for w in re.split(r"[\s,;/()\[\]\"]+|(?<=\s)-+(?=\s)", text)) if w and w != "-"]
+    if "." in text or "'" in text or "’" in text:
+        text = text.translate(_MARKS)
+    return [w for w in _BREAKS.split(text) if w and w != "-"]
+
+
+def _one_line(raw: str) -> str:
+    return " ".join((raw if raw.isascii() else unicodedata.normalize("NFKC", raw)).split())
 
 
 def read_firm_or_person(raw: str) -> tuple[str, str, str]:
     """Key, guard and style (full, initial, acronym) of a firm's or person's name."""
-    plain = " ".join(unicodedata.normalize("NFKC", raw).split())
+    plain = _one_line(raw)
     s = " ".join(_NOISE.sub(" ", plain.lower()).split()).strip(" -,")
-    short = re.sub(r"(?i)\blegacy contract\b|\(main acct\)|#\s*\d+|-\s*ap dept\b", "", plain).strip(" -,.")
-    if _ACRONYM.fullmatch(short):
+    if _ACRONYM.match(plain) and _ACRONYM.fullmatch(short := _DECORATION.sub("", plain).strip(" -,.")):
         return short.lower(), "", "acronym"
     parts = [w for w in (_words(p) for p in s.split(",")) if w]
     strip = lambda ws: ws[: next((i for i in range(len(ws), 0, -1) if ws[i - 1] not in LEGAL and not (ws[i - 1] == "c" and i > 2)), 0)]
@@ -142,6 +151,7 @@ def cuts(n: int, segments: int = SEGMENTS) -> list[tuple[int, int]]:
 _DEBT_NEAR = SegmentIndex(sorted(DEBT_WORDS | DEBT_FILLERS))
 
 
+@lru_cache(maxsize=65_536)
 def _debt_word(w: str) -> str:
     """The word of the vocabulary that ``w`` is or, from five letters on, is mistyped for; else ``w``."""
     if w in DEBT_WORDS or w in DEBT_FILLERS or len(w) < 5:
@@ -152,7 +162,7 @@ def _debt_word(w: str) -> str:
 
 def _instrument(raw: str) -> tuple[str, str, str]:
     """Kind (its words in one order), guard and lender of a debt instrument's name."""
-    s = " ".join(unicodedata.normalize("NFKC", raw).lower().split())
+    s = _one_line(raw).lower()
     s = s.replace("t/l", "tl").replace("r/e", "re").replace("s/h", "sh").replace("p-note", "pnote")
     words = [x for w in _words(_NOISE.sub(" ", s).replace("-", " ")) for x in DEBT_SHORT.get(w, w).split()]
     guard = sorted(w for w in words if w.isdigit() or (len(w) == 1 and w.isalpha()))
@@ -177,9 +187,12 @@ def read_instrument(raw: str) -> tuple[str, str, str]:
 READERS: dict[str, Callable[[str], tuple[str, str, str]]] = {"firm": read_firm_or_person, "instrument": read_instrument}
 
 
-def read_lender(reader: str, raw: str) -> str:
-    """Words of an instrument's name that tell no kind: its lender; "" for other names."""
-    return _instrument(raw)[2] if reader == "instrument" else ""
+def _read(reader: str, raw: str) -> tuple[str, str, str, str]:
+    """Key, guard, style and lender of a name; the lender is "" for other names than those of instruments."""
+    if reader == "instrument":
+        kind, guard, lender = _instrument(raw)
+        return kind, guard, "full", lender
+    return *READERS[reader](raw), ""
 
 
 def _hash(*parts: object) -> int:
@@ -444,7 +457,7 @@ def _parsed(names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(*READERS[r](s), read_lender(r, s)) for r, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            got = [_read(r, s) for r, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], pa.string()) for i in range(4))], names=["name", "grp", "key", "guard", "style", "lender"])
 
     return names.select("name", "grp", "reader", "raw").mapInArrow(run, "name bigint, grp bigint, key string, guard string, style string, lender string")
