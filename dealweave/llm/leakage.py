@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .lookalikes import TO_LATIN
 
-#: Words of one pattern of the automaton. Short, so that single changed words leave patterns on both sides.
-SEED_WORDS = 3
+#: Words of one pattern of the automaton. Short, so that a passage with every third word changed still holds some.
+SEED_WORDS = 2
+#: Equal words in a row that a run needs to be chained with another: common pairs of words stand everywhere.
+ANCHOR_WORDS = 3
 
 
 def _plain_table() -> dict[int, str | None]:
@@ -71,16 +74,16 @@ class LeakRule:
     """When words in common are a leak: enough of an item's words in their order, however they are interrupted."""
 
     min_words: int = 18
-    #: Most words of the item that may be changed or missing between two seeds.
+    #: Most words of the item that may be changed or missing between two runs.
     item_gap: int = 6
-    #: Most words of the text that may stand between two seeds.
+    #: Most words of the text that may stand between two runs.
     text_gap: int = 30
-    #: Most words of the item between two seeds that neither stand in the text nor are single changed words.
+    #: Most words of the item between two runs that neither stand in the text nor are single changed words.
     lost_words: int = 2
 
 
 def held_between(item: list[str], text: list[str]) -> tuple[int, int]:
-    """For the words between two seeds: how many are the same in their order, and how many are single changed words.
+    """For the words between two runs: how many are the same in their order, and how many are single changed words.
 
     A changed word is single if the words on both its sides are unchanged and one word of the text stands for it.
     """
@@ -154,33 +157,62 @@ class LeakFinder:
                 out[item].append((last - n + 1, k))
         return out
 
-    def chains(self, seeds: list[tuple[int, int]], n: int, words: list[str], item: list[str]) -> tuple[int, int, int, int, int, int]:
-        """Best chain of an item's seeds: (words held, of them unchanged, item span, first and last word in the text, last in the item)."""
+    def runs(self, seeds: list[tuple[int, int]], words: list[str], item: list[str]) -> list[tuple[int, int, int, int, bool]]:
+        """``(t, k, length, same, anchored)``: stretches of the text that go along the item word by word, single changed words
+        in between included; they begin and end with equal words. In the order of the text."""
+        n, m = len(words), len(item)
+        out, done = [], set()
+        for t, k in seeds:
+            if (t, k) in done:
+                continue
+            d, ends = t - k, []
+            for step, at in ((1, k), (-1, k)):
+                last = lambda i: not (0 <= i < m and 0 <= i + d < n)
+                while True:
+                    if not last(at + step) and item[at + step] == words[at + step + d]:
+                        at += step
+                    elif not last(at + 2 * step) and item[at + 2 * step] == words[at + 2 * step + d]:
+                        at += 2 * step
+                    else:
+                        break
+                ends.append(at)
+            hi, lo = ends
+            flags = [item[i] == words[i + d] for i in range(lo, hi + 1)]
+            done.update((i + d, i) for i in range(lo, hi + 1))
+            row = best = 0
+            for f in flags:
+                row = row + 1 if f else 0
+                best = max(best, row)
+            out.append((lo + d, lo, hi - lo + 1, sum(flags), best >= min(ANCHOR_WORDS, m)))
+        return sorted(out)
+
+    def chains(self, runs: list[tuple[int, int, int, int, bool]], words: list[str], item: list[str]) -> tuple[int, int, int, int, int, int]:
+        """Best chain of an item's runs: (words held, of them unchanged, item span, first and last word in the text, last in the item)."""
         best = (0, 0, 0, 0, 0, 0)
         state: list[tuple[int, int, int, int]] = []  # words held, unchanged, first item word, first text word
+        longest = max(r[2] for r in runs)
         lo = 0
-        for b, (t, k) in enumerate(seeds):
-            top = (n, n, k, t)
-            while seeds[lo][0] < t - n - self.rule.text_gap:
+        for b, (t, k, size, same, anchored) in enumerate(runs):
+            top = (size, same, k, t)
+            while runs[lo][0] + longest + self.rule.text_gap < t:
                 lo += 1
-            for a in range(b - 1, lo - 1, -1):
-                t0, k0 = seeds[a]
-                dk, dt = k - k0, t - t0
-                if dt <= 0 or dk <= 0 or dk - n > self.rule.item_gap or dt - n > self.rule.text_gap:
+            for a in range(b - 1, lo - 1, -1) if anchored else ():
+                t0, k0, size0, _, anchored0 = runs[a]
+                over = max(t0 + size0 - t, k0 + size0 - k, 0)  # words of this run that the one before has used
+                if not anchored0 or over >= size:
+                    continue
+                dt, dk = t + over - t0 - size0, k + over - k0 - size0
+                if dk > self.rule.item_gap or dt > self.rule.text_gap:
                     continue
                 s = state[a]
-                same = fresh = min(n, dk, dt)
-                if dk > n:
-                    between, single = held_between(item[k0 + n : k], words[t0 + n : t]) if dt > n else (0, 0)
-                    if dk - n - between - single > self.rule.lost_words:
-                        continue
-                    same += between
-                    fresh += between + single
-                cand = (s[0] + fresh, s[1] + same, s[2], s[3])
+                between, single = held_between(item[k0 + size0 : k + over], words[t0 + size0 : t + over]) if dk and dt else (0, 0)
+                if dk - between - single > self.rule.lost_words:
+                    continue
+                cand = (s[0] + size - over + between + single, s[1] + max(same - over, 0) + between, s[2], s[3])
                 if cand > top:
                     top = cand
             state.append(top)
-            found = (top[0], top[1], k + n - top[2], top[3], t + n - 1, k + n - 1)
+            found = (top[0], top[1], k + size - top[2], top[3], t + size - 1, k + size - 1)
             if found > best:
                 best = found
         return best
@@ -192,15 +224,23 @@ class LeakFinder:
         for item, seeds in self.seeds(words).items():
             need = self.need[item] if floor is None else floor
             n = min(SEED_WORDS, len(self.words[item]))
-            if len(seeds) + n - 1 < min(need, 6) and need > n:
+            # a seed brings its own words, a single changed one and what stands before the next run, and no more
+            if len(seeds) * (n + 1 + self.rule.item_gap) < need:
                 continue
-            held, same, span, first, last, end = self.chains(seeds, n, words, self.words[item])
+            runs = self.runs(seeds, words, self.words[item])
+            held, same, span, first, last, end = self.chains(runs, words, self.words[item])
             count = self._whole(item, end - span + 1, end) - (span - held) if held else 0
             if held and count >= need:
                 out.append((item, count, same, span, first, last))
         return out
 
 
+@lru_cache(maxsize=4)
+def _finder(items: tuple[tuple[int, str], ...], rule: LeakRule) -> LeakFinder:
+    """The automaton of a list of items, built once per process."""
+    return LeakFinder(list(items), rule)
+
+
 def leaked_items(df: DataFrame, items: list[tuple[int, str]], *, id_col: str, text_col: str, rule: LeakRule = LeakRule()) -> DataFrame:
     """``<id_col>, item_id, n_words, start, end``: every item that leaks into a text, and where in the original text.
 
@@ -211,14 +251,14 @@ def leaked_items(df: DataFrame, items: list[tuple[int, str]], *, id_col: str, te
     must stand whole; repeated rows are reported each; texts are scanned whole, whatever their length; an empty table or
     list gives an empty result; other columns are ignored, whatever their names.
 
-    Plan: one pass over two columns, no shuffle. The automaton is built once per Python worker from the items, which the
+    Plan: one pass over two columns, no shuffle. The automaton is built once per Python process from the items, which the
     caller has checked to be few; a text costs one scan, and alignment only looks at the seeds found.
     """
-    items = [(i, t) for i, t in items if t]
+    given = tuple((i, t) for i, t in items if t)
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = LeakFinder(items, rule)
+        finder = _finder(given, rule)
         for b in batches:
             src, item, words, start, end = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):

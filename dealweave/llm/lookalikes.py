@@ -136,48 +136,57 @@ def _key(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
+#: Clean words that a task holds before it passes them on; a word may be passed on more than once.
+_WORDS_HELD = 200_000
+
+
 def _folded(docs: DataFrame, id_type: str, with_text: bool) -> DataFrame:
-    """``__id, __row, raw_key, form_key, form, __doubt`` of ``__id, __text``.
+    """``__id, __row, raw_key, form_key, form, __doubt`` of ``__id, __text``, and rows of ``word`` alone, from one pass.
 
     ``__doubt`` are the doubtful tokens with their readings in order of preference. Texts without any are finished: they
-    have a ``form_key``, and the form itself only if wanted; the others carry their folded text in ``form``.
+    have a ``form_key``, and the form itself only if wanted; the others carry their folded text in ``form``. ``word`` are
+    the clean words of all texts.
     """
     kind = pa.list_(pa.struct([("token", pa.string()), ("readings", pa.list_(pa.string())), ("home", pa.string())]))
+    types = [pa.binary(), pa.binary(), pa.binary(), pa.string(), kind, pa.string()]
+    names = ["__id", "__row", "raw_key", "form_key", "form", "__doubt", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        id_kind = None
+
+        def listed() -> pa.RecordBatch:
+            n = len(words)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, id_kind), *(pa.nulls(n, t) for t in types[:-1]), pa.array(list(words), pa.string())], names=names)
+
         for b in batches:
+            id_kind = b.column(0).type
             rows, raws, keys, forms, doubts = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = fold(t)
                 raw = _key(t)
+                tokens = set(TOKEN.findall(f))
                 found = []
-                if not f.isascii():
+                if f.isascii():
+                    words |= tokens
+                else:
                     main = main_script(f)
-                    found = [{"token": w, "readings": r, "home": home_reading(w, main)} for w in dict.fromkeys(TOKEN.findall(f)) if not w.isascii() and (r := readings(w, main))]
+                    words.update(w for w in tokens if (w.isascii() and main == "LATIN") or all(s in ("", main) for s in map(script, w)))
+                    found = [{"token": w, "readings": r, "home": home_reading(w, main)} for w in sorted(tokens) if not w.isascii() and (r := readings(w, main))]
                 rows.append(hashlib.sha256(repr(i).encode() + raw).digest()[:16])
                 raws.append(raw)
                 keys.append(None if found else (raw if f is t else _key(f)))
                 forms.append(f if found or with_text else None)
                 doubts.append(found or None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rows, pa.binary()), pa.array(raws, pa.binary()), pa.array(keys, pa.binary()), pa.array(forms, pa.string()), pa.array(doubts, kind)],
-                names=["__id", "__row", "raw_key", "form_key", "form", "__doubt"],
-            )
+            columns = [pa.array(c, t) for c, t in zip((rows, raws, keys, forms, doubts), types)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.nulls(len(rows), pa.string())], names=names)
+            if len(words) > _WORDS_HELD:
+                yield listed()
+                words.clear()
+        if words:
+            yield listed()
 
-    return docs.mapInArrow(run, f"__id {id_type}, __row binary, raw_key binary, form_key binary, form string, __doubt array<struct<token:string,readings:array<string>,home:string>>")
-
-
-def _words(docs: DataFrame) -> DataFrame:
-    """Clean words of all texts, each at least once (and at most once a batch)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words: set[str] = set()
-            for t in b.column(0).to_pylist():
-                words |= clean_words(fold(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
-
-    return docs.select("__text").mapInArrow(run, "word string")
+    return docs.mapInArrow(run, f"__id {id_type}, __row binary, raw_key binary, form_key binary, form string, __doubt array<struct<token:string,readings:array<string>,home:string>>, word string")
 
 
 def _mended(df: DataFrame, id_type: str) -> DataFrame:
@@ -211,21 +220,23 @@ def one_form(df: DataFrame, *, id_col: str, text_col: str, with_text: bool = Tru
     texts of any length are processed whole; a token that no reading makes a word stays as it is; an empty table gives an
     empty result; other columns are ignored, whatever their names.
 
-    Plan: texts are folded and digested where they lie, once; digests and doubtful tokens go to a shared checkpoint. The
+    Plan: texts are read, folded and digested once, where they lie; digests, doubtful tokens and clean words go to a shared
+    checkpoint. The
     distinct readings meet the distinct words of the corpus in one join, and the accepted ones go back to their texts by
     row. No text without doubtful tokens is shuffled, and nothing is collected.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
-    folded = checkpointed(_folded(docs, id_type, with_text))
+    both = checkpointed(_folded(docs, id_type, with_text))
+    folded, words = both.filter("word is null"), both.filter("word is not null").select("word")
     doubtful = folded.filter("__doubt is not null")
     doubt = doubtful.select("__row", F.explode("__doubt").alias("d")).select("__row", "d.token", "d.home", F.posexplode("d.readings").alias("rank", "reading"))
     home = F.when(F.col("reading") == F.col("home"), F.col("__row"))
     seen = doubt.groupBy("reading").agg(F.coalesce(F.min(home) != F.max(home), F.lit(False)).alias("twice"))
-    accepted = seen.join(_words(docs).distinct(), F.col("reading") == F.col("word"), "left").filter("word is not null or twice").select("reading")
-    fixed = doubt.join(accepted, "reading").groupBy("__row", "token").agg(F.min_by("reading", "rank").alias("reading"))
+    accepted = seen.hint("merge").join(words.distinct(), F.col("reading") == F.col("word"), "left").filter("word is not null or twice").select("reading")
+    fixed = doubt.hint("merge").join(accepted, "reading").groupBy("__row", "token").agg(F.min_by("reading", "rank").alias("reading"))
     fixes = fixed.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("token", "reading"))).alias("__fixes"))
-    mended = _mended(doubtful.join(fixes, "__row", "left"), id_type)
+    mended = _mended(doubtful.hint("merge").join(fixes, "__row", "left"), id_type)
     out = folded.filter("__doubt is null").select("__id", "raw_key", "form_key", "form").unionByName(mended)
     return out.withColumnRenamed("__id", id_col)
 
@@ -238,6 +249,16 @@ def same_look_pairs(forms: DataFrame, id_col: str) -> DataFrame:
     """
     rows = checkpointed(forms.select(F.col(id_col).alias("id"), "raw_key", "form_key").filter("id is not null"))
     several = rows.groupBy("form_key").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).filter("lo != hi").select("form_key")
-    left = rows.join(several, "form_key")
+    left = rows.hint("merge").join(several, "form_key")
     a, b = left.select("form_key", F.col("id").alias(f"{id_col}_a"), F.col("raw_key").alias("ra")), left.select("form_key", F.col("id").alias(f"{id_col}_b"), F.col("raw_key").alias("rb"))
-    return a.join(b, "form_key").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("ra") != F.col("rb"))).select(f"{id_col}_a", f"{id_col}_b")
+    return a.hint("merge").join(b.hint("merge"), "form_key").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("ra") != F.col("rb"))).select(f"{id_col}_a", f"{id_col}_b")
+
+
+def same_look_classes(forms: DataFrame, id_col: str) -> DataFrame:
+    """``<id_col>, class_id, n_links``: every row of ``one_form`` with the least id of its form and how many rows look the
+    same in other characters; what ``same_look_pairs`` says without writing out pairs. Null ids have none."""
+    rows = checkpointed(forms.select(F.col(id_col).alias("id"), "raw_key", "form_key").filter("id is not null"))
+    exact = rows.groupBy("form_key", "raw_key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = exact.groupBy("form_key").agg(F.sum("n").alias("all"), F.min("least").alias("class_id"))
+    out = rows.hint("merge").join(exact.select("form_key", "raw_key", "n"), ["form_key", "raw_key"]).hint("merge").join(classes, "form_key")
+    return out.select(F.col("id").alias(id_col), "class_id", (F.col("all") - F.col("n")).alias("n_links"))

@@ -111,7 +111,8 @@ def pivot(units: list[int], sizes: list[int], probs: list[float], seed: int) ->
 
 
 def count_tokens(df: DataFrame, *, id_col: str, source_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``__id, __source, __tokens`` of every row: tokens of its whole text under the vocabulary in ``tokenizer``."""
+    """``__id, __source, __tokens, __unit`` of every row: tokens of its whole text under the vocabulary in ``tokenizer``, and a
+    number that depends on the row's contents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -121,17 +122,19 @@ def count_tokens(df: DataFrame, *, id_col: str, source_col: str, text_col: str,
         encoding = tiktoken.Encoding("mix", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=["__id", "__source", "__tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), b.column(3)], names=["__id", "__source", "__tokens", "__unit"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text")).mapInArrow(run, f"__id {kind}, __source string, __tokens bigint")
+    unit = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("__unit")
+    return df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__text"), unit).mapInArrow(run, f"__id {kind}, __source string, __tokens bigint, __unit bigint")
 
 
 def mix(df: DataFrame, targets: list[SourceTarget], *, id_col: str, source_col: str, text_col: str, total: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """``<id_col>, source, n_tokens, copies``: the documents of the mixture, each with how often it is used (1 or more).
 
     Every document of a source has the same expected number of copies; the fractions are rounded by pivotal sampling, so
-    the tokens of a source miss its target by less than one document. Results depend on the input's files and ``seed``.
+    the tokens of a source miss its target by less than one document. Results depend on the rows and
+    ``seed`` only, not on the files they come in.
 
     Defined results: rows with a null source or one without a target stay out; null and empty texts have no tokens and
     are rounded alone; a source without tokens contributes nothing; repeated rows are documents of their own; an empty
@@ -145,7 +148,7 @@ def mix(df: DataFrame, targets: list[SourceTarget], *, id_col: str, source_col:
     spark = df.sparkSession
     named = spark.createDataFrame([(t.source,) for t in targets], "__named string").distinct()
     rows = df.join(bounded_broadcast(named, MAX_SOURCES), F.col(source_col) == F.col("__named"), "left_semi")
-    sized = checkpointed(count_tokens(rows, id_col=id_col, source_col=source_col, text_col=text_col, tokenizer=tokenizer).withColumn("__unit", F.monotonically_increasing_id()))
+    sized = checkpointed(count_tokens(rows, id_col=id_col, source_col=source_col, text_col=text_col, tokenizer=tokenizer))
     totals = bounded_collect(sized.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("docs")), MAX_SOURCES, "sources of the corpus")
     rates = copy_rates(targets, {r["__source"]: r["tokens"] for r in totals}, total)
     docs = {r["__source"]: r["docs"] for r in totals}
@@ -156,7 +159,7 @@ def mix(df: DataFrame, targets: list[SourceTarget], *, id_col: str, source_col:
     columns = [f.split(" ")[0] for f in schema.split(", ")]
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__unit", kind="stable")
+        group = group.sort_values(["__unit", "__tokens"], kind="stable")
         group["__prob"] = pivot(group["__unit"].tolist(), group["__tokens"].tolist(), group["__prob"].tolist(), seed)
         return group[columns]
 

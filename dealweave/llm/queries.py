@@ -9,10 +9,10 @@ from ..operators.units import NOTE_ROW, TOTAL_ROW
 from ..session import bounded_broadcast, bounded_collect, table
 from .canonical import AFTER, ALIASES, BEFORE, label_paths, map_labels
 from .leakage import leaked_items
-from .lookalikes import FOLD, TO_LATIN, one_form, same_look_pairs
+from .lookalikes import FOLD, TO_LATIN, one_form, same_look_classes, same_look_pairs
 from .mixing import SourceTarget, mix, shares_reached
 from .names import link_names, variant_pairs
-from .representative import Bundle, best_records, spelling_key
+from .representative import Bundle, Dependency, best_records, spelling_key
 
 #: Bounds on the fixed reference tables; a larger table is an error, not a cut.
 MAX_ENTRIES = 100_000
@@ -56,20 +56,40 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(p4_entities(spark, sf_dir), "row_id", keep=["src_table"])
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each fact recorded more than once, its document type and field name."""
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence records with the document type and field name of ``doc_fields`` that their spellings stand for."""
     known = table(spark, sf_dir, "doc_fields")
     spellings = F.explode(F.array("doc_type", "doc_label", "short_code"))
     types = known.select("doc_type", spellings.alias("s")).select(spelling_key(F.col("s")).alias("type_key"), F.col("doc_type").alias("known_type"))
     types = types.filter("type_key is not null").groupBy("type_key").agg(F.min("known_type").alias("known_type"))
     fields = known.select(spelling_key(F.col("field_name")).alias("field_key"), "field_name").filter("field_key is not null").groupBy("field_key").agg(F.min("field_name").alias("known_field"))
     records = table(spark, sf_dir, "evidence_resolver").select(
-        "fact_id", "evidence_id", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "extracted_at",
+        "fact_id", "evidence_id", "value", "period_key", "source_ref", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "extracted_at",
         spelling_key(F.col("doc_type")).alias("type_key"), spelling_key(F.col("field_name")).alias("field_key"),
     )
-    records = records.join(bounded_broadcast(types, MAX_ENTRIES), "type_key", "left").join(bounded_broadcast(fields, MAX_ENTRIES), "field_key", "left")
+    return records.join(bounded_broadcast(types, MAX_ENTRIES), "type_key", "left").join(bounded_broadcast(fields, MAX_ENTRIES), "field_key", "left")
+
+
+_TRUST = ("reviewed", "confidence", "extracted_at", "-evidence_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each fact recorded more than once, its document type and field name."""
     bundles = [Bundle(("doc_type",), ("known_type",)), Bundle(("field_name",), ("known_field",))]
-    return best_records(records, group="fact_id", bundles=bundles, trust=[F.col("reviewed"), F.col("confidence"), F.col("extracted_at"), -F.col("evidence_id")])
+    return best_records(_evidence(spark, sf_dir), group="fact_id", bundles=bundles, trust=[F.expr(t) for t in _TRUST])
+
+
+def p5_bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each fact recorded more than once, one consistent record: the type and name of its field, which must fit each
+    other, and the value with its period and source, which go together."""
+    known = bounded_collect(table(spark, sf_dir, "doc_fields").select("doc_type", "field_name").distinct(), MAX_ENTRIES, "doc_fields")
+    types: dict[str, set[str]] = {}
+    for r in known:
+        types.setdefault(r.field_name, set()).add(r.doc_type)
+    only = {f: next(iter(t)) for f, t in types.items() if len(t) == 1}  # a field of one type demands that type
+    records = _evidence(spark, sf_dir).withColumn("shown", F.when(F.abs("value") < 1e15, F.round("value", 2).cast("decimal(18,2)")))
+    bundles = [Bundle(("field_name",), ("known_field",)), Bundle(("doc_type",), ("known_type",)), Bundle(("value", "period_key", "source_ref"), ("shown", "period_key", "source_ref"))]
+    return best_records(records, group="fact_id", bundles=bundles, trust=[F.expr(t) for t in _TRUST], dependencies=(Dependency("field_name", "doc_type", only),))
 
 
 def p1_sql() -> str:
@@ -113,6 +133,26 @@ FROM records GROUP BY fact_id HAVING count(*) >= 2
 """
 
 
+_KEY_SQL = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+P5_BUNDLED_SQL = f"""
+WITH types AS (SELECT type_key, min(doc_type) AS known_type FROM (SELECT doc_type, {_KEY_SQL.format("unnest([doc_type, doc_label, short_code])")} AS type_key FROM doc_fields) WHERE type_key <> '' GROUP BY 1),
+fields AS (SELECT {_KEY_SQL.format("field_name")} AS field_key, min(field_name) AS known_field FROM doc_fields GROUP BY 1),
+sole AS (SELECT field_name, min(doc_type) AS demanded FROM doc_fields GROUP BY 1 HAVING count(DISTINCT doc_type) = 1),
+records AS (SELECT e.fact_id, t.known_type, f.known_field, CASE WHEN abs(value) < 1e15 THEN CAST(CAST(round(value, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS shown, period_key, source_ref,
+        row_number() OVER (PARTITION BY e.fact_id ORDER BY coalesce(e.reviewed, false) DESC, CASE WHEN isnan(e.confidence) THEN NULL ELSE e.confidence END DESC NULLS LAST, e.extracted_at DESC NULLS LAST, e.evidence_id) AS place
+    FROM evidence_resolver e LEFT JOIN types t ON t.type_key = {_KEY_SQL.format("e.doc_type")} LEFT JOIN fields f ON f.field_key = {_KEY_SQL.format("e.field_name")} WHERE e.fact_id IS NOT NULL),
+facts AS (SELECT fact_id FROM records GROUP BY 1 HAVING count(*) >= 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY place) - 1 AS k, count(*) OVER (PARTITION BY fact_id) AS n FROM (SELECT fact_id, known_field, min(place) AS place FROM records WHERE known_field IS NOT NULL GROUP BY 1, 2)),
+t AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY place) - 1 AS k, count(*) OVER (PARTITION BY fact_id) AS n FROM (SELECT fact_id, known_type, min(place) AS place FROM records WHERE known_type IS NOT NULL GROUP BY 1, 2)),
+v AS (SELECT fact_id, shown, period_key, source_ref FROM records WHERE shown IS NOT NULL AND period_key IS NOT NULL AND source_ref IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY place) = 1),
+-- every selection of a field and a type, or of none, that the dependency allows; of equal trust the better field, then the better type
+every_f AS (SELECT fact_id, known_field, k, n, 5040 - 5040 * k / n AS w FROM f UNION ALL SELECT fact_id, NULL, 1000000, 1, 0 FROM facts), every_t AS (SELECT fact_id, known_type, k, n, 5040 - 5040 * k / n AS w FROM t UNION ALL SELECT fact_id, NULL, 1000000, 1, 0 FROM facts),
+best AS (SELECT fact_id, known_field, known_type FROM facts JOIN every_f ff USING (fact_id) JOIN every_t tt USING (fact_id) LEFT JOIN sole o ON o.field_name = known_field
+    WHERE demanded IS NULL OR known_type IS NULL OR known_type = demanded QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY round(ff.w + tt.w, 4) DESC, ff.k, tt.k) = 1)
+SELECT fact_id, known_field AS field_name, known_type AS doc_type, shown AS value, period_key, source_ref FROM best LEFT JOIN v USING (fact_id)
+"""
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every evaluation item that leaks into a document, and where in the document's text."""
     items = [(r.item_id, r.text) for r in bounded_collect(table(spark, sf_dir, "eval_items").select("item_id", "text"), MAX_ITEMS, "eval_items")]
@@ -149,8 +189,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(one_form(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", with_text=False), "doc_id")
 
 
-def p9_sql() -> str:
-    """SQL of p9_found for texts in Latin script: every look-alike becomes its letter, then equal texts are paired."""
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least id of those that look the same, and how many of them differ in their characters."""
+    return same_look_classes(one_form(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", with_text=False), "doc_id")
+
+
+def _looks_sql() -> str:
+    """SQL of a text's one form in Latin script: every look-alike becomes its letter."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     single = {chr(c): v for c, v in FOLD.items() if v is not None and len(v) == 1} | TO_LATIN
     gone = "".join(chr(c) for c, v in FOLD.items() if v is None and c != 0)
@@ -158,14 +203,21 @@ def p9_sql() -> str:
     for c, v in sorted((chr(c), v) for c, v in FOLD.items() if v is not None and len(v) > 1):
         looks = f"replace({looks}, {q(c)}, {q(v)})"
     looks = f"nfc_normalize(translate({looks}, {q(''.join(single) + gone)}, {q(''.join(single.values()))}))"
-    return f"""
-WITH d AS (SELECT doc_id, text, {looks} AS looks FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text
-"""
+    return f"WITH d AS (SELECT doc_id, text, {looks} AS looks FROM documents WHERE text IS NOT NULL)"
+
+
+def p9_sql() -> str:
+    """SQL of p9_found for texts in Latin script: texts of equal looks are paired."""
+    return f"{_looks_sql()} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text"
+
+
+def p9_classes_sql() -> str:
+    """SQL of p9_classes for texts in Latin script."""
+    return f"{_looks_sql()} SELECT doc_id, min(doc_id) OVER (PARTITION BY looks) AS class_id, count(*) OVER (PARTITION BY looks) - count(*) OVER (PARTITION BY looks, text) AS n_links FROM d"
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
+    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_bundled": p5_bundled, "p9_classes": p9_classes, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
-ORACLE_SQL = {"p1_found": p1_sql(), "p5_found": P5_SQL, "p9_found": p9_sql()}
+ORACLE_SQL = {"p1_found": p1_sql(), "p5_found": P5_SQL, "p5_bundled": P5_BUNDLED_SQL, "p9_found": p9_sql(), "p9_classes": p9_classes_sql()}

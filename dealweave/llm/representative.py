@@ -8,6 +8,7 @@ soon as even the best trust of all undecided bundles could not beat the best sel
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ class Dependency:
 def choose(options: list[list[tuple[dict[str, str], float]]], dependencies: tuple[Dependency, ...] = ()) -> dict[str, str]:
     """The consistent selection of at most one value per bundle with the greatest total trust.
 
-    ``options[i]`` are the values of bundle i with their positive trust, best first. Ties keep the selection found first,
+    ``options[i]`` are the values of bundle i with their positive trust (whole numbers compare exactly), best first. Ties keep the selection found first,
     which prefers the better trusted values of earlier bundles. A bundle may be left out if nothing consistent remains.
     """
     n = len(options)
@@ -104,7 +105,9 @@ def best_records(df: DataFrame, *, group: str, bundles: list[Bundle], trust: lis
         for columns in batches:
             out = []
             for group_options in zip(*columns):
-                options = [[(dict(zip(b.fields, v)), 1.0 - k / len(values)) for k, v in enumerate(values)] for b, values in zip(bundles, group_options)]
+                # ranks evenly down from 1 to 0, as whole numbers over one denominator, so that sums compare exactly
+                whole = math.lcm(*(len(values) for values in group_options if len(values)))
+                options = [[(dict(zip(b.fields, v)), whole - k * (whole // len(values))) for k, v in enumerate(values)] for b, values in zip(bundles, group_options)]
                 out.append(choose(options, dependencies))
             yield pd.DataFrame({f: pd.Series([r.get(f) for r in out], dtype=object) for f in fields})
 

@@ -67,3 +67,16 @@ def test_rows(spark):
     r = next(r for r in got if r.doc_id == 4)
     assert long[r.start : r.end] == ITEMS[7][1]
     assert leaked_items(df.limit(0), ITEMS, id_col="doc_id", text_col="text").count() == 0 and leaked_items(df, [], id_col="doc_id", text_col="text").count() == 0
+
+
+def test_every_third_word_changed_and_changes_at_the_ends():
+    words = ITEMS[7][1].split()
+    assert found(" ".join(w if i % 3 != 2 else "changed" for i, w in enumerate(words))) == [7]
+    for at in (1, 16):
+        assert found(filler(9) + " " + " ".join(w if i != at else "changed" for i, w in enumerate(words[:18])) + " " + filler(9)) == [7]
+    assert found(" ".join(words[:17]) + " " + filler(20) + " " + " ".join(words[30:31])) == []
+
+
+def test_pairs_of_words_alone_are_not_chained():
+    words = ITEMS[8][1].split()
+    assert found(" ".join(" ".join(words[i : i + 2]) + " " + filler(3) for i in range(0, 40, 2))) == []
