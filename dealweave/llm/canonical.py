@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
@@ -122,6 +123,12 @@ class LabelMatcher:
         return out
 
 
+@lru_cache(maxsize=4)
+def _matcher(paths: tuple[tuple[str, object], ...]) -> LabelMatcher:
+    """The trie of a reference list, built once per process."""
+    return LabelMatcher(list(paths))
+
+
 def map_labels(df: DataFrame, reference: list[tuple[int, str]], *, id_col: str, text_col: str, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
     """``<id_col>, <text_col>, item_id, distance`` for every row whose text is not blank; both are null if unmatched.
 
@@ -131,14 +138,14 @@ def map_labels(df: DataFrame, reference: list[tuple[int, str]], *, id_col: str,
     mapped each; very long texts end unmatched after a few steps, as no path is that long; an empty table or an empty
     reference gives no rows or only unmatched ones; other columns are ignored, whatever their names.
 
-    Plan: one pass over two columns, no shuffle. Each Python worker holds the trie of the reference and remembers the
-    labels it has seen (a bounded memo), so a label with a third of all rows costs one search per worker.
+    Plan: one pass over two columns, no shuffle. Each Python process builds the trie of the reference once and remembers
+    the labels it has seen (a bounded memo), so a label with a third of all rows costs one search per process.
     """
-    paths = label_paths({i: label for i, label in reference}, aliases)
+    paths = tuple(label_paths({i: label for i, label in reference}, aliases))
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").rlike(r"\S"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = LabelMatcher(paths)
+        matcher = _matcher(paths)
         for b in batches:
             found = [matcher.match(s) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

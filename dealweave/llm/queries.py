@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.units import NOTE_ROW, TOTAL_ROW
-from ..session import bounded_broadcast, bounded_collect, table
+from ..session import bounded_broadcast, bounded_collect, checkpointed, table
 from .canonical import AFTER, ALIASES, BEFORE, label_paths, map_labels
 from .leakage import leaked_items
 from .lookalikes import FOLD, TO_LATIN, one_form, same_look_classes, same_look_pairs
@@ -31,8 +32,8 @@ def p1_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that are not letter for letter a line's, with the line they mean, 0 if there is none."""
-    labels = [r.label for r in bounded_collect(table(spark, sf_dir, "line_items").select("label"), MAX_ENTRIES, "line_items")]
-    return p1_mapped(spark, sf_dir).filter(~F.col("c0").isin(labels)).select("src_table", "row_id", F.coalesce("item_id", F.lit(0)).cast("bigint").alias("item_id"))
+    labels = table(spark, sf_dir, "line_items").select(F.col("label").alias("c0")).distinct()
+    return p1_mapped(spark, sf_dir).join(bounded_broadcast(labels, MAX_ENTRIES), "c0", "left_anti").select("src_table", "row_id", F.coalesce("item_id", F.lit(0)).cast("bigint").alias("item_id"))
 
 
 def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,15 +46,24 @@ def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows("revenue_breakdown", "customer", "firm").unionByName(rows("debt_schedule", "instrument", "instrument"))
 
 
-def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row that names a customer or instrument, with the entity it belongs to in its deal."""
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_names(_named_rows(spark, sf_dir), id_col="row", group_col="deal_id", name_col="name", reader=F.col("reader"))
     return linked.select("row.src_table", "row.row_id", "name", "entity")
 
 
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that names a customer or instrument, with the entity it belongs to in its deal and the number of rows that
+    name the same in another string: what ``p4_found`` says without writing out pairs."""
+    rows = checkpointed(_entities(spark, sf_dir))
+    names = rows.groupBy("entity", "name").agg(F.count("*").alias("n"))
+    whole = names.groupBy("entity").agg(F.sum("n").alias("all"))
+    out = rows.hint("merge").join(names, ["entity", "name"]).hint("merge").join(whole, "entity")
+    return out.select("src_table", "row_id", "name", "entity", (F.col("all") - F.col("n")).alias("n_links"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one deal that name the same customer or instrument in different strings."""
-    return variant_pairs(p4_entities(spark, sf_dir), "row_id", keep=["src_table"])
+    return variant_pairs(_entities(spark, sf_dir), "row_id", keep=["src_table"])
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +102,8 @@ def p5_bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_records(records, group="fact_id", bundles=bundles, trust=[F.expr(t) for t in _TRUST], dependencies=(Dependency("field_name", "doc_type", only),))
 
 
-def p1_sql() -> str:
-    """SQL of p1_found: the same paths, compared with DuckDB's edit distance."""
+def p1_sql(every: bool = False) -> str:
+    """SQL of p1_found, or of p1_mapped (``every`` label): the same paths, compared with DuckDB's edit distance."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({q(path)}, {q(label)})" for path, label in label_paths({label: label for label in ALIASES}))
     plain = f"trim(regexp_replace(trim(lower(replace(c0, '_', ' '))), {q(BEFORE)}, ''))"
@@ -103,11 +113,11 @@ def p1_sql() -> str:
     plain = rf"trim(regexp_replace(regexp_replace({plain}, '[^\w]+', ' ', 'g'), '\s+', ' ', 'g'))"
     return rf"""
 WITH rows AS (SELECT 'balance_sheet' AS src_table, row_id, c0 FROM balance_sheet UNION ALL SELECT 'ugly_balance_sheet', row_id, c0 FROM ugly_balance_sheet),
-used AS (SELECT * FROM rows WHERE regexp_matches(c0, '\S') AND c0 NOT IN (SELECT label FROM line_items)), labels AS (SELECT c0, {plain} AS s FROM (SELECT DISTINCT c0 FROM used)),
+used AS (SELECT * FROM rows WHERE regexp_matches(c0, '\S') {"" if every else "AND c0 NOT IN (SELECT label FROM line_items)"}), labels AS (SELECT c0, {plain} AS s FROM (SELECT DISTINCT c0 FROM used)),
 paths AS (SELECT DISTINCT path, item_id FROM (VALUES {rows}) v(path, label) JOIN line_items USING (label)),
 near AS (SELECT c0, item_id, min(damerau_levenshtein(s, path)) AS k FROM labels JOIN paths ON abs(len(s) - len(path)) <= 2 AND damerau_levenshtein(s, path) <= CASE WHEN len(s) <= 4 THEN 0 WHEN len(s) <= 11 THEN 1 ELSE 2 END GROUP BY 1, 2),
-best AS (SELECT c0, min(item_id) AS item_id FROM (SELECT *, min(k) OVER (PARTITION BY c0) AS least FROM near) WHERE k = least GROUP BY c0 HAVING count(*) = 1)
-SELECT src_table, row_id, coalesce(item_id, 0) AS item_id FROM used LEFT JOIN best USING (c0)
+best AS (SELECT c0, min(item_id) AS item_id, CAST(min(k) AS INTEGER) AS distance FROM (SELECT *, min(k) OVER (PARTITION BY c0) AS least FROM near) WHERE k = least GROUP BY c0 HAVING count(*) = 1)
+SELECT src_table, row_id, {"c0, item_id, distance" if every else "coalesce(item_id, 0) AS item_id"} FROM used LEFT JOIN best USING (c0)
 """
 
 
@@ -179,6 +189,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_reached(p8_mixture(spark, sf_dir), mix_targets(spark, sf_dir))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source with documents and a target: whether it is within one document of its share of all tokens, and no
+    document is used more often than allowed."""
+    mixture, targets = p8_mixture(spark, sf_dir), mix_targets(spark, sf_dir)
+    reached = shares_reached(mixture, targets).filter("n_docs > 0")
+    largest = mixture.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    open_share = F.sum("target_share").over(Window.partitionBy())  # sources without documents leave their share to the others
+    whole = F.sum("n_tokens").over(Window.partitionBy())
+    out = reached.join(largest, "source").withColumn("miss", F.abs(F.col("n_tokens") - whole * F.col("target_share") / open_share))
+    biggest = F.max("largest").over(Window.partitionBy())  # the whole may miss by one document of every source
+    n = F.count("*").over(Window.partitionBy())
+    return out.select("source", (F.col("miss") <= F.col("largest") + n * biggest * F.col("target_share") / open_share).alias("share_kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+P8_KEPT_SQL = "SELECT source, true AS share_kept, true AS repeats_kept FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')"
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All document texts in their one form."""
     return one_form(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text").select("doc_id", F.col("form").alias("text"))
@@ -217,7 +244,7 @@ def p9_classes_sql() -> str:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_bundled": p5_bundled, "p9_classes": p9_classes, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms,
+    "p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_bundled": p5_bundled, "p9_classes": p9_classes, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_found": p9_found, "p9_forms": p9_forms,
 }
 
-ORACLE_SQL = {"p1_found": p1_sql(), "p5_found": P5_SQL, "p5_bundled": P5_BUNDLED_SQL, "p9_found": p9_sql(), "p9_classes": p9_classes_sql()}
+ORACLE_SQL = {"p1_found": p1_sql(), "p1_mapped": p1_sql(every=True), "p8_kept": P8_KEPT_SQL, "p5_found": P5_SQL, "p5_bundled": P5_BUNDLED_SQL, "p9_found": p9_sql(), "p9_classes": p9_classes_sql()}
