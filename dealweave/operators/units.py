@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .changepoint import level_shifts
+from .changepoint import known_shift, level_shifts, segment, segment_pieces
 
-#: Places of a file searched as one history; longer files are searched block by block, so that no array is unbounded.
+#: Places of a file searched in one task; the changes of longer files are found block by block and then searched as a whole.
 BLOCK_ROWS = 4096
 PENALTY = 1.0
 #: Log10 of the factors between units: dollars, thousands, millions; fractions, percent, basis points.
@@ -97,22 +97,99 @@ def _search(shifts: tuple[float, ...], penalty: float, tolerance: float):
     return F.pandas_udf(run, "array<int>")
 
 
-def with_level_shifts(df: DataFrame, *, keys: list[str], place: str, log: str, reference: str, shifts: tuple[float, ...], spread: str, penalty: float = PENALTY, tolerance: float = 1.5) -> DataFrame:
+def _pieces(penalty: float):
+    """Pandas UDF: the segments of each block: place, number, sum and sum of squares of their values."""
+
+    def one(logs: np.ndarray) -> list[dict]:
+        y = np.array(logs, dtype=float)
+        at = np.flatnonzero(~np.isnan(y))
+        v = y[at]
+        return [{"at": int(at[a]), "n": b - a, "s1": float(v[a:b].sum()), "s2": float((v[a:b] ** 2).sum())} for a, b in segment(v, penalty)]
+
+    return F.pandas_udf(lambda logs: pd.Series([one(y) for y in logs]), "array<struct<at:int,n:int,s1:double,s2:double>>")
+
+
+def _merged(shifts: tuple[float, ...], penalty: float, tolerance: float):
+    """Pandas UDF: the known shift of each piece of a history, whose pieces are searched as one series."""
+
+    def one(pieces: np.ndarray, ref: float | None) -> list[int]:
+        n, s1, s2 = (np.array([p[k] for p in pieces], dtype=float) for k in ("n", "s1", "s2"))
+        out = [0] * len(pieces)
+        base = s1.sum() / n.sum() if ref is None or np.isnan(ref) else float(ref)
+        for a, b in segment_pieces(n, s1, s2, penalty):
+            out[a:b] = [int(known_shift(s1[a:b].sum() / n[a:b].sum(), base, shifts, tolerance))] * (b - a)
+        return out
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pieces, refs in batches:
+            yield pd.Series([one(p, r) for p, r in zip(pieces, refs)])
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<int>")
+
+
+def with_level_shifts(df: DataFrame, *, keys: list[str], place: str, log: str, reference: str, shifts: tuple[float, ...], spread: str, penalty: float = PENALTY, tolerance: float = 1.5, block_rows: int = BLOCK_ROWS, last_place: int | None = None) -> DataFrame:
     """Adds ``level_shift``: the known shift of the changepoint segment that a value lies in, in decades.
 
-    Histories are the rows of ``keys`` ordered by ``place``, cut into blocks of ``BLOCK_ROWS`` places, so a history with a
-    third of all rows is spread over many tasks and no array exceeds a block. Rows without a place have no neighbours and
-    are spread by a hash of their ``spread`` column. Rows whose ``log`` is null (zero values) belong to no level and get 0.
+    Histories are the rows of ``keys`` ordered by ``place``, cut into blocks of ``block_rows`` places, so a history with a
+    third of all rows is spread over many tasks and no array exceeds a block. The segments of all blocks of a history, few
+    numbers each, are then searched as one series, so a level that goes over the end of a block is one segment and pays no
+    penalty there. ``last_place`` is the greatest place, if the caller knows it: histories of one block need no second
+    search. Rows without a place have no neighbours and are spread by a hash of their ``spread`` column. Rows whose ``log``
+    is null (zero values) belong to no level and get 0.
     """
     own = [c for c in df.columns if c not in keys]
-    block = F.coalesce(F.floor(F.col(place) / BLOCK_ROWS).cast("bigint"), -1 - F.pmod(F.xxhash64(spread), F.lit(1 << 20)))
+    block = F.coalesce(F.floor(F.col(place) / block_rows).cast("bigint"), -1 - F.pmod(F.xxhash64(spread), F.lit(1 << 20)))
     row = F.struct(F.col(place).alias("p"), F.col(log).alias("y"), F.struct(*own).alias("r"))
     grouped = df.withColumn("__block", block).groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(row)).alias("__rows"), F.max(reference).alias("__ref"))
-    searched = grouped.withColumn("__shift", _search(shifts, penalty, tolerance)(F.col("__rows.y"), F.col("__ref")))
+    if last_place is not None and last_place < block_rows:
+        searched = grouped.withColumn("__shift", _search(shifts, penalty, tolerance)(F.col("__rows.y"), F.col("__ref")))
+    else:
+        # rows without a place are histories of their own
+        series = [*keys, F.when(F.col("__block") < 0, F.col("__block")).alias("__alone")]
+        # blocks are cut finer than the penalty asks: what stays a change is decided by the second search alone
+        pieces = grouped.select(*series, "__block", "__ref", F.explode(_pieces(penalty / 8)("__rows.y")).alias("p")).groupBy(*keys, "__alone")
+        pieces = pieces.agg(F.array_sort(F.collect_list(F.struct("__block", "p.at", "p.n", "p.s1", "p.s2"))).alias("__pieces"), F.max("__ref").alias("__ref"))
+        found = pieces.withColumn("__s", _merged(shifts, penalty, tolerance)("__pieces", "__ref")).select(*keys, F.explode(F.arrays_zip("__pieces", "__s")).alias("z"))
+        found = found.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("z.__pieces.__block").alias("__b")).agg(F.array_sort(F.collect_list(F.struct("z.__pieces.at", F.col("z.__s").alias("s")))).alias("__starts"))
+        same = grouped["__block"] == found["__b"]
+        for i, k in enumerate(keys):
+            same = same & grouped[k].eqNullSafe(found[f"__k{i}"])
+        joined = grouped.hint("merge").join(found, same, "left")
+        begun = lambda i: F.filter("__starts", lambda x: x["at"] <= i)
+        shift = F.transform("__rows", lambda r, i: F.when(r["y"].isNotNull(), F.coalesce(F.try_element_at(begun(i), F.lit(-1))["s"], F.lit(0))).otherwise(0))
+        searched = joined.withColumn("__shift", shift)
     out = searched.select(*keys, F.explode(F.arrays_zip("__rows", "__shift")).alias("z"))
     return out.select(*keys, F.col("z.__rows.r.*"), F.col("z.__shift").alias("level_shift"))
 
 
+def _last_place(df: DataFrame, place: str) -> int:
+    """The greatest place of a table: one number, from one integer column."""
+    return df.agg(F.max(F.col(place).cast("bigint"))).first()[0] or 0
+
+
+def silent_unit_changes(df: DataFrame, *, keys: list[str], place: str, value: str, row_id: str, shifts: tuple[float, ...] = AMOUNT_SHIFTS, penalty: float = PENALTY, tolerance: float = 1.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``<keys>, <row_id>, level_shift, restored``: every value with the unit change that only its level shows, reversed.
+
+    No text speaks here: each history of ``keys`` in the order of ``place`` is split by the changepoint search on log values,
+    and a segment a known factor off the history's median is taken back by that factor.
+
+    Defined results: null and zero values have no level and stay; a null key is a history; rows without a place are judged
+    one by one; a history of which half or more is recorded otherwise is taken to be in that unit; repeated rows are kept;
+    an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
+    rows = df.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), F.col(row_id).alias("__row"), F.col(place).cast("bigint").alias("__place"), F.col(value).cast("double").alias("__value"))
+    named = [f"__key{i}" for i in range(len(keys))]
+    rows = rows.withColumn("__log", F.when((F.col("__value") != 0) & ~F.isnan("__value"), F.log10(F.abs("__value"))))
+    middle = rows.groupBy(*(F.col(k).alias(f"{k}r") for k in named)).agg(F.percentile_approx("__log", 0.5, 10_000).alias("__reference"))
+    same = F.lit(True)
+    for k in named:
+        same = same & rows[k].eqNullSafe(middle[f"{k}r"])
+    cells = rows.join(middle, same).select(*named, "__row", "__place", "__value", "__log", "__reference")
+    found = with_level_shifts(cells, keys=named, place="__place", log="__log", reference="__reference", shifts=shifts, spread="__row", penalty=penalty, tolerance=tolerance, block_rows=block_rows, last_place=_last_place(rows, "__place"))
+    return found.select(*(F.col(k).alias(c) for k, c in zip(named, keys)), F.col("__row").alias(row_id), "level_shift", (F.col("__value") * F.pow(F.lit(10.0), -F.col("level_shift"))).alias("restored"))
+
+
 def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, value: str, name: str, title: str, header: str | None = None, share: str | None = None) -> DataFrame:
     """``row_id, number, decades, dollars, level_shift, evidence`` for every amount present in ``value``.
 
@@ -158,7 +235,7 @@ def amounts_in_dollars(df: DataFrame, *, row_id: str, file: str, place: str, val
         "row_id", "__file", "__place", "__number", "__own", "__total", F.col("__stated"), reading.alias("__reading"), reference.alias("__reference"),
         (F.col("__log") + reading - F.coalesce(share_log, F.col("__log") + reading - reference, F.lit(0.0))).alias("__y"),
     )
-    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=AMOUNT_SHIFTS, spread="row_id")
+    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=AMOUNT_SHIFTS, spread="row_id", last_place=_last_place(df, place))
     turned = F.col("__total") & F.col("__own").isNull() & F.col("__reference").isNotNull()
     decades = F.when(turned, F.col("__reading") - F.col("level_shift")).otherwise(F.col("__reading")).cast("int")
     power = F.element_at(F.create_map(*(x for e in range(-6, 13, 3) for x in (F.lit(e), F.lit(f"{10.0**e:.6f}").cast("decimal(20,6)")))), F.col("decades"))
@@ -192,7 +269,7 @@ def rates_in_percent(df: DataFrame, *, row_id: str, file: str, place: str, value
     cells = cells.withColumn("__reading", reading)
     y = F.log10(F.when(F.col("__number") != 0, F.abs((F.col("__number") * F.col("__reading")).cast("double")) * F.col("__times")))
     cells = cells.withColumn("__y", y).withColumn("__reference", F.log10(F.lit(TYPICAL_RATE)))
-    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=RATE_SHIFTS, spread="row_id", tolerance=0.9)
+    found = with_level_shifts(cells, keys=["__file"], place="__place", log="__y", reference="__reference", shifts=RATE_SHIFTS, spread="row_id", tolerance=0.9, last_place=_last_place(df, place))
     bare = F.col("__own").isNull() & F.col("__stated").isNull()
     fraction = bare & (F.abs("__number") < 1) & (F.col("__number") != 0)
     points = F.when(fraction, F.lit("100").cast("decimal(10,4)")).otherwise(F.col("__reading"))

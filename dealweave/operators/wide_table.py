@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Hash buckets that hold the ordinals. More than any cluster has cores; the rank within a bucket stays small.
-BUCKETS = 4096
+#: Hash buckets that hold the ordinals: at least so many, and so many for each shuffle partition of the session, so that they
+#: grow with the cluster; the rank within a bucket stays small.
+BUCKETS, BUCKETS_A_PARTITION = 4096, 4
 #: Entities in one column segment; bounds every array.
 SEGMENT = 1024
 
@@ -81,7 +82,8 @@ def _numbers(df: DataFrame) -> DataFrame:
 
     Works in steps of one column each, so that no expression is written out more than once.
     """
-    df = df.withColumn("__plain", F.regexp_replace(F.lower("__text"), r"us\$|usd|\$|%|percent|pct\.?|days?|\s", ""))
+    number = F.col("__kind").isin("amount", "percent", "integer", "decimal")  # null text costs no patterns
+    df = df.withColumn("__plain", F.regexp_replace(F.lower(F.when(number, F.col("__text"))), r"us\$|usd|\$|%|percent|pct\.?|days?|\s", ""))
     df = df.withColumn("__digits", F.regexp_replace("__plain", r"^[-(]+|[-)]+$", ""))
     ok = F.col("__digits").rlike(r"^(?:\d{1,3}(?:,\d{3})+|\d+)?(?:\.\d+)?$") & F.col("__digits").rlike(r"\d")
     df = df.withColumn("__size", F.when(ok, F.regexp_replace("__digits", ",", "")).try_cast("decimal(28,6)"))
@@ -90,7 +92,7 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 def _days(df: DataFrame) -> DataFrame:
     """Adds ``__day``: ``2024-05-22``, ``5/22/2024``, ``May 22, 2024``, ``22 May 2024``; null for days that do not exist."""
-    df = df.withColumn("__title", F.initcap("__text"))
+    df = df.withColumn("__title", F.initcap(F.when(F.col("__kind") == "date", F.col("__text"))))
     df = df.withColumn("__dmy", F.regexp_replace("__title", r"^([A-Z][a-z]{2})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$2 $1 $3"))
     df = df.withColumn("__dmy", F.regexp_replace("__dmy", r"^(\d{1,2}) ([A-Z][a-z]{2})[a-z]*\.?,? (\d{4})$", "$1 $2 $3"))
     read = lambda pattern, fmt: F.when(F.col("__dmy").rlike(pattern), F.try_to_timestamp("__dmy", F.lit(fmt)).cast("date"))
@@ -154,7 +156,8 @@ def stitch_wide(cells: DataFrame, attributes: list[Attribute], *, entity: str) -
     Arrays hold at most ``SEGMENT`` values.
     """
     # the column segments of a bucket are built where the bucket lies
-    placed = cells.withColumn("__bucket", F.pmod(F.xxhash64("__entity"), F.lit(BUCKETS)).cast("int")).repartition("__bucket")
+    buckets = max(BUCKETS, BUCKETS_A_PARTITION * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cells.withColumn("__bucket", F.pmod(F.xxhash64("__entity"), F.lit(buckets)).cast("int")).repartition("__bucket")
     w = Window.partitionBy("__bucket").orderBy("__entity")
     placed = placed.withColumn("__rank", F.dense_rank().over(w) - 1)
     placed = placed.withColumn("__range", F.floor(F.col("__rank") / SEGMENT).cast("int")).withColumn("__at", (F.col("__rank") % SEGMENT).cast("int"))

@@ -164,7 +164,7 @@ def top_shares_stated(spark, d):
 
 
 @query("""
-WITH m AS (SELECT deal_id, file_id, coalesce(min(CASE WHEN regexp_matches(maturity, '^\\d{4}-\\d{2}-\\d{2}$') THEN maturity END), '') AS iso, count(*) AS n, count(annual_debt_service) AS serviced, count(*) FILTER (WHERE maturity IS NULL) AS undated FROM debt_schedule WHERE instrument IS NOT NULL GROUP BY 1, 2)
+WITH m AS (SELECT deal_id, file_id, coalesce(strftime(min(coalesce(try_strptime(maturity, '%Y-%m-%d'), try_strptime(maturity, '%m/%d/%Y'))), '%Y-%m-%d'), '') AS iso, count(*) AS n, count(annual_debt_service) AS serviced, count(*) FILTER (WHERE maturity IS NULL) AS undated FROM debt_schedule WHERE instrument IS NOT NULL GROUP BY 1, 2)
 SELECT deal_id, file_id, iso AS nearest, n, serviced, undated FROM m""")
 def debt_files(spark, d):
     """Instruments, nearest maturity of either date style and gaps of each debt file."""
@@ -194,7 +194,7 @@ def merged_registry(spark, d):
 
 
 @query("""
-WITH e AS (SELECT evidence_id, concept_key, lower(doc_type) AS doc, coalesce(source_ref, '') AS ref FROM evidence_resolver WHERE doc_type IS NOT NULL),
+WITH e AS (SELECT evidence_id, concept_key, lower(doc_type) AS doc, coalesce(source_ref, '') AS ref FROM evidence_resolver),
 r AS (SELECT * FROM (VALUES ('revenue', 'projections', ''), ('ebitda', 'qoe_report', '::Sheet1::::page-1'), ('totalDebt', 'debt_schedule', '::FS::::page-2')) v(concept_key, doc, ref))
 SELECT evidence_id, concept_key FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.concept_key = e.concept_key AND r.doc = e.doc AND (r.ref = '' OR r.ref = e.ref))""")
 def evidence_unsuppressed(spark, d):

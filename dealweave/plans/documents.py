@@ -287,7 +287,7 @@ def evidence_selected(spark, d):
 
 @query(_EVIDENCE_SQL + """
 , s AS (SELECT deal_id, concept_key, value AS v0, period_key AS p0, conf AS c0 FROM r WHERE n = 1),
-c AS (SELECT r.deal_id, r.concept_key, evidence_id, abs(value - v0) / greatest(abs(value), abs(v0), 1.0) AS variance, period_key <> p0 AS other_period, abs(conf - c0) AS gap FROM r JOIN s USING (deal_id, concept_key) WHERE n BETWEEN 2 AND 13)
+c AS (SELECT r.deal_id, r.concept_key, evidence_id, abs(value - v0) / greatest(abs(value), abs(v0), 1.0) AS variance, period_key <> p0 AS other_period, abs(conf - c0) AS gap FROM r JOIN s USING (deal_id, concept_key) WHERE n >= 2)
 SELECT deal_id, concept_key, evidence_id, floor(variance * 10000 + 0.5) / 10000 AS variance, CASE WHEN variance > 0.09 THEN 'high' WHEN variance > 0.05 OR other_period THEN 'medium' ELSE 'low' END AS severity FROM c WHERE variance > 0.05 OR gap < 0.08 OR other_period""")
 def evidence_conflicts(spark, d):
     """Every other record of each concept that disagrees with the leading one in value or period."""

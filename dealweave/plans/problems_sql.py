@@ -72,10 +72,25 @@ v AS (SELECT file_id, field_name, loaded_at, row_id, CASE WHEN data_type IN ('am
 SELECT file_id, field_name, arg_max(value_key, (loaded_at, row_id)) AS value_key FROM v WHERE value_key IS NOT NULL GROUP BY 1, 2
 """
 
+_SQL_TYPES = {"amount": "BIGINT", "integer": "BIGINT", "percent": "DOUBLE", "decimal": "DOUBLE", "date": "VARCHAR", "text": "VARCHAR"}
+_TENS = {"percent": 100, "decimal": 10}
+_KINDS = {
+    "top_customer_pct": "percent", "top5_pct": "percent", "invoice_count": "integer", "customer_count": "integer", "as_of_date": "date", "currency_code": "text", "dso_days": "decimal",
+}
+
+
+def _wide_column(a: str) -> str:
+    kind = _KINDS.get(a, "amount")
+    cell = f"max(value_key) FILTER (WHERE field_name = '{a}')"
+    return f"CAST({f'CAST({cell} AS DECIMAL(18,0)) / {_TENS[kind]}' if kind in _TENS else cell} AS {_SQL_TYPES[kind]}) AS {a}"
+
+
+P3_WIDE_SQL = f"SELECT file_id, {', '.join(map(_wide_column, AGING_PATTERNS))} FROM ({P3_SQL}) GROUP BY file_id"
+
 _FIELD = r'"(?:[^"]|"")*"|[^",]*'
 
 
-def _bad(src: str, header: str, n: int, kinds: list[str]) -> str:
+def _records(src: str, header: str, n: int, kinds: list[str], out: str) -> str:
     amount = r"\s*\$?\s*(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\((?:\$\s*)?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\))\s*"
     def test(kind: str, v: str) -> str:
         return {
@@ -88,17 +103,39 @@ def _bad(src: str, header: str, n: int, kinds: list[str]) -> str:
 
     good = " AND ".join(test(k, f"v[{i + 1}]") for i, k in enumerate(kinds))
     return f"""
-SELECT '{src}' AS src_table, line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN broken OR len(f) <> {n} THEN 'column_count' WHEN NOT ({good}) THEN 'invalid_value' END AS reason FROM (
-    SELECT line_id, regexp_full_match(c0, {_q(f"(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*")}) AS quoted, regexp_extract_all(c0 || ',', {_q(f"(?s)({_FIELD}),")}, 1) AS f, len(list_filter(f, lambda x: NOT starts_with(x, '"') AND regexp_matches(x, '[\\r\\n]'))) > 0 AS broken,
+SELECT {out}, CASE WHEN NOT quoted THEN 'quoting' WHEN broken OR len(f) <> {n} THEN 'column_count' WHEN NOT ({good}) THEN 'invalid_value' END AS reason FROM (
+    SELECT line_id, file_id, regexp_full_match(c0, {_q(f"(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*")}) AS quoted, regexp_extract_all(c0 || ',', {_q(f"(?s)({_FIELD}),")}, 1) AS f, len(list_filter(f, lambda x: NOT starts_with(x, '"') AND regexp_matches(x, '[\\r\\n]'))) > 0 AS broken,
         list_transform(f, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS v
     FROM (SELECT l.*, first_line FROM {src} l LEFT JOIN (SELECT file_id, min(line_no) AS first_line FROM {src} WHERE trim(lower(c0)) = lower({_q(header)}) GROUP BY 1) USING (file_id))
     WHERE c0 IS NOT NULL AND NOT regexp_full_match(c0, '[,\\s]*') AND NOT starts_with(ltrim(c0), 'Note') AND NOT starts_with(ltrim(c0), '*') AND trim(lower(c0)) <> lower({_q(header)}) AND (first_line IS NULL OR line_no > first_line))
 """
 
 
+def _bad(src: str, header: str, n: int, kinds: list[str]) -> str:
+    return _records(src, header, n, kinds, f"'{src}' AS src_table, line_id")
+
+
+def _amount(v: str) -> str:
+    """An amount or percentage as a number."""
+    digits = f"nullif(regexp_replace(trim({v}), '[$,()%\\s]', '', 'g'), '')"
+    return f"CAST({digits} AS DOUBLE) * CASE WHEN trim({v}) LIKE '(%' OR trim({v}) LIKE '$%(%' THEN -1 ELSE 1 END"
+
+
+def _loaded(src: str, header: str, kinds: list[str], names: list[str]) -> str:
+    day = "strftime(coalesce(try_strptime(trim({0}), '%Y-%m-%d'), try_strptime(trim({0}), '%m/%d/%Y')), '%Y-%m-%d')"
+    read = {"name": lambda v: f"trim({v})", "amount": _amount, "optional": _amount, "percent": _amount, "date": day.format}
+    columns = ", ".join(f"{read[k](f'v[{i + 1}]')} AS {c}" for i, (k, c) in enumerate(zip(kinds, names)))
+    return f"SELECT line_id, file_id, {columns} FROM ({_records(src, header, len(kinds), kinds, 'line_id, file_id, v')}) WHERE reason IS NULL"
+
+
 P6_SQL = f"""
 SELECT src_table, line_id, reason FROM ({_bad("ugly_debt_schedule", "Facility,Outstanding,Rate,Maturity,Annual P&I", 5, ["name", "amount", "percent", "date", "optional"])} UNION ALL
 {_bad("ugly_revenue_breakdown", "Customer / Account,Revenue,% Mix", 3, ["name", "amount", "percent"])}) WHERE reason IS NOT NULL
 """
 
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL}
+SQL = {
+    "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_wide": P3_WIDE_SQL, "p6_found": P6_SQL,
+    "p2_silent": "SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part WHERE p_partkey // 40 % 4 = 2",
+    "p6_debt_loaded": _loaded("ugly_debt_schedule", "Facility,Outstanding,Rate,Maturity,Annual P&I", ["name", "amount", "percent", "date", "optional"], ["facility", "outstanding", "rate", "maturity", "annual_pi"]),
+    "p6_revenue_loaded": _loaded("ugly_revenue_breakdown", "Customer / Account,Revenue,% Mix", ["name", "amount", "percent"], ["customer", "revenue", "mix"]),
+}

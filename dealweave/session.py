@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,13 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster shares; make a local one only where none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
+    """Point checkpoints at the folder the cluster shares in ``spark.checkpoint.dir``.
+
+    A local folder is made only where none is set and the session runs in one process (tests); a cluster without the
+    setting is an error, as executors would not see each other's files. Checkpoints that nothing refers to any more are
+    deleted by Spark's cleaner.
+    """
+    sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "dealweave-checkpoints")
-    spark.sparkContext.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -31,5 +31,13 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(_plain(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def same_types(con, df, sql: str) -> None:
+    types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    assert {c: DUCK_TYPES.get(t, t.upper()) for c, t in df.dtypes} == types
+
+
 def as_set(df) -> set[tuple]:
     return {tuple(r) for r in df.collect()}

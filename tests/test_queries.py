@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 
-from support import SF, duck, rows
+from support import SF, duck, rows, same_types
 
-DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# the queries of the llm subpackage are tested beside it
+QUERIES, SQL = ({n: q for n, q in d.items() if entry.llm_queries is None or n not in entry.llm_queries.QUERIES} for d in (entry.queries(), entry.oracle_sql()))
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +17,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) & set(SQL)))
 def test_query_matches_sql(spark, con, name):
-    got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
+    df, want = QUERIES[name](spark, SF), con.execute(SQL[name]).df()
+    got = df.toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
-    types = {r[0]: r[1] for r in con.execute("DESCRIBE " + SQL[name]).fetchall()}
-    assert {c: DUCK_TYPES.get(t, t) for c, t in QUERIES[name](spark, SF).dtypes} == types
+    same_types(con, df, SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

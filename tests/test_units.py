@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -6,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dealweave.operators import units
-from dealweave.operators.changepoint import level_shifts, segment
-from dealweave.operators.units import amounts_in_dollars, rates_in_percent, stated_scale
+from dealweave.operators.changepoint import level_shifts, segment, segment_pieces
+from dealweave.operators.units import amounts_in_dollars, rates_in_percent, silent_unit_changes, stated_scale
 
 SCHEMA = "row_id long, file_id string, row_idx int, sheet_title string, revenue_header string, customer string, revenue string, pct string"
 
@@ -90,3 +91,35 @@ def test_huge_numbers_do_not_fail(spark):
 
 def test_empty_table(spark):
     assert amounts(spark, []) == {}
+
+
+def shifts_of(spark, values, block_rows, spread=0.05):
+    rng = random.Random(2)
+    rows = [(i, "f", i, None if v is None else v * 10 ** rng.uniform(-spread, spread), "clash") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "row_id long, file string, at long, value double, level_shift string")
+    out = silent_unit_changes(df, keys=["file"], place="at", value="value", row_id="row_id", block_rows=block_rows).collect()
+    return {r.row_id: (r.level_shift, r.restored) for r in out}, {r[0]: r[3] for r in rows}
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 16, 1000])
+def test_silent_changes_over_the_ends_of_blocks(spark, block_rows):
+    truth = [0] * 30 + [-3] * 20 + [0] * 25 + [3] * 9 + [0] * 16
+    got, values = shifts_of(spark, [5000.0 * 10**s for s in truth], block_rows)
+    assert [got[i][0] for i in range(100)] == truth
+    assert all(abs(got[i][1] - values[i] / 10 ** truth[i]) < 1e-6 for i in range(100))
+
+
+def test_a_level_over_two_blocks_pays_no_second_penalty():
+    y = np.array([0.0] * 8 + [0.75] * 2 + [0.75] * 2 + [0.0] * 8)
+    pieces = [(8, 0.0, 0.0), (2, 1.5, 1.125), (2, 1.5, 1.125), (8, 0.0, 0.0)]
+    n, s1, s2 = (np.array(c, dtype=float) for c in zip(*pieces))
+    assert segment(y, 0.5) == [(0, 8), (8, 12), (12, 20)]
+    assert segment_pieces(n, s1, s2, 0.5) == [(0, 1), (1, 3), (3, 4)]
+
+
+def test_silent_changes_of_odd_rows(spark):
+    schema = "row_id long, file string, at long, value double"
+    rows = [(1, None, 1, 100.0), (2, None, 2, 0.0), (3, None, None, 90.0), (4, None, 3, None), (4, None, 3, 95.0), (5, "g", 1, float("nan"))]
+    out = silent_unit_changes(spark.createDataFrame(rows, schema), keys=["file"], place="at", value="value", row_id="row_id").collect()
+    assert sorted((r.row_id, r.level_shift) for r in out) == [(1, 0), (2, 0), (3, 0), (4, 0), (4, 0), (5, 0)]
+    assert silent_unit_changes(spark.createDataFrame([], schema), keys=["file"], place="at", value="value", row_id="row_id").count() == 0
