@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import product
@@ -12,55 +13,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .edit import Trie
+from .edit import Trie, within
 
-#: Words and the ways to shorten them; every label has a path for every mix of them.
-SHORT_WORDS: dict[str, tuple[str, ...]] = {
-    "accounts": ("accts",), "receivable": ("recv",), "payable": ("pybl",), "total": ("ttl",), "current": ("curr",), "assets": ("asts",), "asset": ("ast",),
-    "liabilities": ("liab",), "long": ("lg",), "property": ("prop",), "equipment": ("equip",), "intangible": ("intang",), "accumulated": ("accum",),
-    "depreciation": ("depr", "depn"), "prepaid": ("ppd",), "expenses": ("exp",), "deferred": ("defd", "def"), "investments": ("invstmts", "invest"),
-    "shareholders": ("shldrs",), "customer": ("cust",), "deposits": ("dep",), "retained": ("ret",), "earnings": ("earn",), "inventory": ("invent", "invty"),
-    "notes": ("nts",), "additional": ("addl",), "common": ("com",), "treasury": ("treas",), "stock": ("stk",), "interest": ("int",), "noncontrolling": ("nonctrl",),
-    "allowance": ("allow",), "distributions": ("distrib",), "contract": ("contr",), "lease": ("lse",), "revenue": ("rev",), "payroll": ("payrl",), "portion": ("ptn",),
-}
-
-#: Other wordings of balance sheet lines, by the label they mean.
+#: Other wordings of balance sheet lines that their labels do not give away, by the label they mean: a table of the caller,
+#: here the usual synonyms of accounting.
 ALIASES: dict[str, tuple[str, ...]] = {
     "Cash": ("cash & equiv", "cash in bank", "cash and cash equivalents", "bank balances", "csh & equivs", "operating acct + petty cash"),
-    "Short-Term Investments": ("investments (short term)", "st investments", "marketable securities", "s/t invstmts", "s/t investments"),
-    "Accounts Receivable": ("accts rec'ble", "a/r trade", "ar - net", "trade debtors", "customer receivables", "trade receivables", "receivables, accounts", "a/r"),
+    "Short-Term Investments": ("st investments", "marketable securities", "s/t invstmts", "s/t investments"),
+    "Accounts Receivable": ("a/r trade", "ar - net", "trade debtors", "customer receivables", "trade receivables"),
     "Allowance for Doubtful Accounts": ("afda", "bad debt reserve", "reserve for doubtful accts", "allow. for uncollectibles"),
     "Inventory": ("invty - net", "inv. (fifo)", "stock on hand", "parts & materials on hand", "inventories", "invent."),
     "Prepaid Expenses": ("pre-paid exp.", "prepaids", "expenses paid in advance", "prepaid ins & rent"),
     "Contract Assets": ("costs in excess of billings", "unbilled revenue", "contract asset (wip)", "underbillings"),
-    "Notes Receivable": ("n/r", "promissory notes receivable", "receivable - notes", "notes rec."),
-    "Total Current Assets": ("tca", "sum of current assets", "current assets, total", "tot. curr. assets"),
-    "Property, Plant and Equipment": ("pp and e net", "ppe", "pp&e", "net pp&e", "plant, property & equip", "fixed assets (net)"),
-    "Accumulated Depreciation": ("a/d", "depreciation to date", "less: accumulated depn", "accum. depr."),
-    "Goodwill": ("gw (acquisitions)", "good will", "goodwill - net of impairment", "purchased goodwill"),
+    "Notes Receivable": ("promissory notes receivable",),
+    "Total Current Assets": ("sum of current assets",),
+    "Property, Plant and Equipment": ("pp and e net", "pp&e", "net pp&e", "plant, property & equip", "fixed assets (net)"),
+    "Accumulated Depreciation": ("depreciation to date", "less: accumulated depn"),
+    "Goodwill": ("gw (acquisitions)", "goodwill - net of impairment", "purchased goodwill"),
     "Intangible Assets": ("customer lists & trademarks", "intang. assets net", "other intangibles", "intangibles"),
     "Right-of-Use Assets": ("right of use (asc 842)", "lease rou - net", "rou assets", "operating lease asset"),
-    "Deferred Tax Assets": ("dta", "def. tax asset", "deferred income taxes (asset)", "deferred tax asset"),
-    "Total Assets": ("assets, total", "total assets =", "sum total of assets", "tot. assets"),
-    "Accounts Payable": ("accts pay.", "a/p trade", "trade payables", "payables, accounts", "vendor payables", "trade creditors", "a/p"),
-    "Accrued Expenses": ("accrued exp. - other", "accruals", "expenses accrued", "accrued liabs"),
+    "Deferred Tax Assets": ("deferred income taxes (asset)",),
+    "Total Assets": ("sum total of assets",),
+    "Accounts Payable": ("a/p trade", "trade payables", "vendor payables", "trade creditors", "a/p"),
+    "Accrued Expenses": ("accrued exp. - other", "accruals", "accrued liabs"),
     "Accrued Payroll": ("salaries accrued", "accrued wages & pto", "wages payable", "payroll liabs"),
-    "Deferred Revenue": ("unearned revenue", "billings in excess of costs", "def. rev.", "contract liabilities"),
-    "Customer Deposits": ("retainers held", "client prepayments", "deposits from customers", "cust. deposits"),
+    "Deferred Revenue": ("unearned revenue", "billings in excess of costs", "contract liabilities"),
+    "Customer Deposits": ("retainers held", "client prepayments", "deposits from customers"),
     "Sales Tax Payable": ("state sales tax owed", "sales taxes due", "s/t payable (sales tax)", "sales tax liability"),
-    "Income Taxes Payable": ("income tax due", "taxes on income, payable", "federal & state income tax payable", "income tax payable"),
+    "Income Taxes Payable": ("income tax due", "taxes on income, payable", "federal & state income tax payable"),
     "Line of Credit": ("bank line drawn", "loc - bank", "revolving credit line", "revolver balance"),
-    "Current Portion of Long Term Debt": ("cpltd", "ltd due within 1 yr", "current ptn - term loans", "curr. portion lt debt", "current maturities of ltd"),
-    "Total Current Liabilities": ("tcl", "tot. curr. liabs", "current liabilities, total", "sum of current liabilities"),
-    "Long Term Debt": ("term loans, non-current", "debt - long term", "lt debt", "long-trm borrowings", "ltd net of current", "long term borrowings"),
+    "Current Portion of Long Term Debt": ("ltd due within 1 yr", "current ptn - term loans", "curr. portion lt debt", "current maturities of ltd"),
+    "Total Current Liabilities": ("sum of current liabilities",),
+    "Long Term Debt": ("term loans, non-current", "lt debt", "long-trm borrowings", "ltd net of current", "long term borrowings"),
     "Lease Liabilities": ("lease liab. (842)", "obligations under leases", "operating lease obligations", "lease obligations"),
-    "Deferred Tax Liabilities": ("dtl", "def. tax liability", "deferred income taxes (liab)", "deferred tax liability"),
+    "Deferred Tax Liabilities": ("def. tax liability", "deferred income taxes (liab)", "deferred tax liability"),
     "Due to Shareholders": ("owner loans to company", "s/h loans payable", "owed to stockholders", "shareholder loans payable"),
-    "Total Liabilities": ("liabilities, total", "tot. liabs", "sum of all liabilities"),
+    "Total Liabilities": ("sum of all liabilities",),
     "Common Stock": ("c/s at par", "capital stock - common", "common shares"),
-    "Additional Paid-In Capital": ("apic", "paid in capital, addl", "capital in excess of par"),
-    "Retained Earnings": ("re (accumulated)", "accumulated earnings", "earnings retained", "ret. earnings b/f"),
-    "Treasury Stock": ("treas. stk", "stock in treasury, at cost", "repurchased shares"),
+    "Additional Paid-In Capital": ("apic", "capital in excess of par"),
+    "Retained Earnings": ("re (accumulated)", "accumulated earnings", "ret. earnings b/f"),
+    "Treasury Stock": ("stock in treasury, at cost", "repurchased shares"),
     "Noncontrolling Interest": ("nci", "non-controlling int.", "minority interest"),
     "Owner Distributions": ("draws - owners", "partner draws ytd", "distributions to members"),
     "Equity": ("net worth (book)", "stockholders equity", "total equity", "shareholders' equity", "members' equity", "owners' equity"),
@@ -84,14 +76,70 @@ def plain_label(text: str) -> str:
     return " ".join(re.sub(r"[^\w]+", " ", s).split())
 
 
-def label_paths(labels: dict[object, str], aliases: dict[str, tuple[str, ...]] = ALIASES, short: dict[str, tuple[str, ...]] = SHORT_WORDS) -> list[tuple[str, object]]:
-    """Trie paths of every entry: its label with every mix of short words, and its aliases."""
+#: Words that a label may have or lack.
+LINK_WORDS = frozenset("and of for the to in on at by".split())
+
+
+def derived_paths(label: str) -> list[str]:
+    """Wordings that follow from a label itself: its initials (of three words on together, of two apart, as in ``a/r``), and
+    its words in another order (any part of it first, as in ``assets, total``)."""
+    words = plain_label(label).split()
+    main = [w for w in words if w not in LINK_WORDS]
+    out = [" ".join(words[i:] + words[:i]) for i in range(1, len(words))]
+    out += [" ".join(main)] if main != words else []
+    out += ["".join(w[0] for w in ws) for ws in (words, main) if len(main) > 2]
+    if len(main) > 1:
+        out.append(" ".join(w[0] for w in main))
+    return out
+
+
+def label_paths(labels: dict[object, str], aliases: dict[str, tuple[str, ...]] = ALIASES, short: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, object]]:
+    """Trie paths of every entry: its label with every mix of the short words given, what can be derived from it, and its aliases.
+
+    What can be derived from several entries stands for none of them.
+    """
     out = []
     for entry, label in labels.items():
         words = plain_label(label).split()
-        out += [(" ".join(mix), entry) for mix in product(*((w, *short.get(w, ())) for w in words))]
+        out += [(" ".join(mix), entry) for mix in product(*((w, *(short or {}).get(w, ())) for w in words))]
         out += [(plain_label(a), entry) for a in aliases.get(label, ())]
-    return out
+    given = {p for p, _ in out}
+    derived = Counter((p, entry) for entry, label in labels.items() for p in set(derived_paths(label)))
+    entries = Counter(p for p, _ in derived)
+    return out + [(p, entry) for p, entry in derived if entries[p] == 1 and p not in given]
+
+
+def abbreviates(short: str, long: str) -> bool:
+    """Whether ``short`` is ``long`` cut off or with letters left out, the first kept."""
+    if len(short) < 2 or len(short) >= len(long) or short[0] != long[0]:
+        return False
+    rest = iter(long)
+    return all(c in rest for c in short)
+
+
+class WordMatcher:
+    """Labels read word by word: each word in full, mistyped or abbreviated.
+
+    Paths are listed under the initials of their words (without link words), so a label only meets those it can be.
+    """
+
+    def __init__(self, paths: list[tuple[str, object]]):
+        self.index: dict[str, list[tuple[list[str], object]]] = {}
+        for path, entry in paths:
+            words = [w for w in path.split() if w not in LINK_WORDS]
+            if len(words) > 1:
+                self.index.setdefault("".join(w[0] for w in words), []).append((words, entry))
+
+    def match(self, plain: str) -> object | None:
+        """The one entry of which every word is meant; at least two words, and one letter of three."""
+        words = [w for w in plain.split() if w not in LINK_WORDS]
+        if len(words) < 2:
+            return None
+        found = set()
+        for label, entry in self.index.get("".join(w[0] for w in words), ()):
+            if all(w == x or abbreviates(w, x) or (len(x) > 4 and within(w, x, 1) <= 1) for w, x in zip(words, label)) and 3 * sum(map(len, words)) >= sum(map(len, label)):
+                found.add(entry)
+        return found.pop() if len(found) == 1 else None
 
 
 def default_tolerance(length: int) -> int:
@@ -104,6 +152,7 @@ class LabelMatcher:
 
     def __init__(self, paths: list[tuple[str, object]], tolerance: Callable[[int], int] = default_tolerance, memo: int = 200_000):
         self.trie, self.tolerance, self.memo, self.seen = Trie(paths), tolerance, memo, {}
+        self.by_words = WordMatcher(paths)
 
     def candidates(self, text: str) -> list[tuple[int, object]]:
         """All entries within the length-dependent distance, nearest first."""
@@ -117,6 +166,8 @@ class LabelMatcher:
         out = (None, None)
         if found and not (len(found) > 1 and found[1][0] == found[0][0]):
             out = (found[0][1], found[0][0])
+        elif not found and (entry := self.by_words.match(plain_label(text))) is not None:
+            out = (entry, 0)
         if len(self.seen) >= self.memo:
             self.seen.clear()
         self.seen[text] = out
@@ -129,10 +180,11 @@ def _matcher(paths: tuple[tuple[str, object], ...]) -> LabelMatcher:
     return LabelMatcher(list(paths))
 
 
-def map_labels(df: DataFrame, reference: list[tuple[int, str]], *, id_col: str, text_col: str, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
+def map_labels(df: DataFrame, reference: list[tuple[int, str]], *, id_col: str, text_col: str, aliases: dict[str, tuple[str, ...]] = ALIASES, short: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``<id_col>, <text_col>, item_id, distance`` for every row whose text is not blank; both are null if unmatched.
 
-    ``reference`` are the (id, label) entries, a small fixed list.
+    ``reference`` are the (id, label) entries, a small fixed list; ``aliases`` their other wordings and ``short`` the
+    shortened forms of words, both tables of the caller. A label that no path comes near is read word by word.
 
     Defined results: null and blank texts give no row; a tie between different entries is unmatched; repeated rows are
     mapped each; very long texts end unmatched after a few steps, as no path is that long; an empty table or an empty
@@ -141,7 +193,7 @@ def map_labels(df: DataFrame, reference: list[tuple[int, str]], *, id_col: str,
     Plan: one pass over two columns, no shuffle. Each Python process builds the trie of the reference once and remembers
     the labels it has seen (a bounded memo), so a label with a third of all rows costs one search per process.
     """
-    paths = tuple(label_paths({i: label for i, label in reference}, aliases))
+    paths = tuple(label_paths({i: label for i, label in reference}, aliases, short))
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").rlike(r"\S"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

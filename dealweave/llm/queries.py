@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators.units import NOTE_ROW, TOTAL_ROW
 from ..session import bounded_broadcast, bounded_collect, checkpointed, table
-from .canonical import AFTER, ALIASES, BEFORE, label_paths, map_labels
+from .canonical import AFTER, ALIASES, BEFORE, LINK_WORDS, label_paths, map_labels
 from .leakage import leaked_items
 from .lookalikes import FOLD, TO_LATIN, one_form, same_look_classes, same_look_pairs
 from .mixing import SourceTarget, mix, shares_reached
@@ -103,8 +103,9 @@ def p5_bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_sql(every: bool = False) -> str:
-    """SQL of p1_found, or of p1_mapped (``every`` label): the same paths, compared with DuckDB's edit distance."""
+    """SQL of p1_found, or of p1_mapped (``every`` label): the same paths, compared with DuckDB's edit distance, then words with words."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
+    links = ", ".join(map(q, sorted(LINK_WORDS)))
     rows = ", ".join(f"({q(path)}, {q(label)})" for path, label in label_paths({label: label for label in ALIASES}))
     plain = f"trim(regexp_replace(trim(lower(replace(c0, '_', ' '))), {q(BEFORE)}, ''))"
     for _ in range(3):
@@ -116,7 +117,11 @@ WITH rows AS (SELECT 'balance_sheet' AS src_table, row_id, c0 FROM balance_sheet
 used AS (SELECT * FROM rows WHERE regexp_matches(c0, '\S') {"" if every else "AND c0 NOT IN (SELECT label FROM line_items)"}), labels AS (SELECT c0, {plain} AS s FROM (SELECT DISTINCT c0 FROM used)),
 paths AS (SELECT DISTINCT path, item_id FROM (VALUES {rows}) v(path, label) JOIN line_items USING (label)),
 near AS (SELECT c0, item_id, min(damerau_levenshtein(s, path)) AS k FROM labels JOIN paths ON abs(len(s) - len(path)) <= 2 AND damerau_levenshtein(s, path) <= CASE WHEN len(s) <= 4 THEN 0 WHEN len(s) <= 11 THEN 1 ELSE 2 END GROUP BY 1, 2),
-best AS (SELECT c0, min(item_id) AS item_id, CAST(min(k) AS INTEGER) AS distance FROM (SELECT *, min(k) OVER (PARTITION BY c0) AS least FROM near) WHERE k = least GROUP BY c0 HAVING count(*) = 1)
+turned AS (SELECT DISTINCT item_id, list_filter(string_split(path, ' '), lambda w: w NOT IN ({links})) AS words FROM paths),
+split AS (SELECT c0, list_filter(string_split(s, ' '), lambda w: w NOT IN ({links})) AS ws FROM labels WHERE c0 NOT IN (SELECT c0 FROM near)),
+by_words AS (SELECT c0, item_id, min(0) AS k FROM split JOIN turned ON len(ws) >= 2 AND array_to_string(list_transform(ws, lambda w: w[1]), '') = array_to_string(list_transform(words, lambda w: w[1]), '')
+    WHERE 3 * len(array_to_string(ws, '')) >= len(array_to_string(words, '')) AND list_bool_and(list_transform(list_zip(ws, words), lambda z: z[1] = z[2] OR (len(z[1]) >= 2 AND len(z[1]) < len(z[2]) AND regexp_matches(z[2], '^' || array_to_string(string_split(z[1], ''), '.*'))) OR (len(z[2]) > 4 AND damerau_levenshtein(z[1], z[2]) <= 1))) GROUP BY 1, 2),
+best AS (SELECT c0, min(item_id) AS item_id, CAST(min(k) AS INTEGER) AS distance FROM (SELECT *, min(k) OVER (PARTITION BY c0) AS least FROM (FROM near UNION ALL FROM by_words)) WHERE k = least GROUP BY c0 HAVING count(*) = 1)
 SELECT src_table, row_id, {"c0, item_id, distance" if every else "coalesce(item_id, 0) AS item_id"} FROM used LEFT JOIN best USING (c0)
 """
 

@@ -80,3 +80,17 @@ def test_long_odd_texts_end_soon(text):
 
 def test_long_runs_of_dots_are_decoration():
     assert LabelMatcher(label_paths(LABELS)).match("Cash " + "." * 100_000)[0] == ID["Cash"]
+
+
+def by_labels_alone():
+    return LabelMatcher(label_paths(LABELS, {}))
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [("Accts Recv", "Accounts Receivable"), ("A/R", "Accounts Receivable"), ("PPE", "Property, Plant and Equipment"), ("APIC", "Additional Paid-In Capital"), ("Assets, total", "Total Assets"), ("tot. curr. liabs", "Total Current Liabilities"), ("Curr Ptn LT Debt", None),
+     ("Def Tx Asts", "Deferred Tax Assets"), ("Ttl Lblts & Eqty", "Total Liabilities and Equity"), ("Total Assessments", None), ("Dep", None), ("Tax", None), ("Long Debt Term", None)],
+)
+def test_shortened_and_turned_labels_need_no_list(text, label):
+    got = by_labels_alone().match(text)[0]
+    assert (LABELS[got] if got is not None else None) == label
