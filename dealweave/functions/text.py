@@ -101,3 +101,35 @@ def first_sentence(c: Column) -> Column:
     """Text up to the first full stop that a capital follows; the whole text if there is none."""
     s = F.regexp_extract(c, r"^(.+?\.)\s+[A-Z]", 1)
     return F.when(s == "", c).otherwise(s)
+
+
+def review_label(c: Column) -> Column:
+    """A label as reviewers' decisions are keyed: lower case, ``%``, commas and apostrophes kept, nothing spelled out."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), "&", " and "), r"[_./()\\-]+", " ")
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def evidence_label(c: Column) -> Column:
+    """A label as evidence is keyed: letters and digits only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), r"\s+", " "))
+
+
+def plain_file_name(c: Column) -> Column:
+    """A file name with spaces for underscores, dashes and dots."""
+    return F.translate(F.lower(c), "_-.", "   ")
+
+
+def ignorable_label(c: Column) -> Column:
+    """Whether a label is only a number, a note or a page mark."""
+    s = F.trim(F.lower(c))
+    return s.rlike(r"^\d+$") | s.rlike(r"^(?:note |notes|see accompanying|page |continued)")
+
+
+def shown_amount(c: Column) -> Column:
+    """An amount as ``$1,234``, a negative as ``-$1,234``."""
+    return F.concat(F.when(c < 0, F.lit("-$")).otherwise(F.lit("$")), F.format_number(F.abs(c), 0))
+
+
+def shown_percent(c: Column) -> Column:
+    """A percentage as ``12.5%``."""
+    return F.concat(F.format_number(c, 1), F.lit("%"))

@@ -40,16 +40,23 @@ def _score() -> Column:
     return F.when(exact, 1.0).when(n == 0, None).when(phrase, 0.9).when((n > 1) & (shared >= 2) & (cover >= 0.67), partial)
 
 
+def _tokens(*texts: str) -> Column:
+    """All words of some texts, once each; a text without any is none."""
+    return F.filter(F.array_distinct(F.flatten(F.array(*(F.split(t, " ") for t in texts)))), lambda w: w != "")
+
+
 def match_labels(labels: DataFrame, aliases: DataFrame, *, label: str = "label") -> DataFrame:
     """``doc_type, <label>, field_name, alias, score, match_rank``: candidates of every label, best first.
 
     ``labels`` has one row per distinct (doc_type, label). Each field counts with its best alias; equal scores rank by the
-    longer alias, then by the registry's order. The registry is broadcast behind a check of its size.
+    longer alias, then by the registry's order. A score needs a word in common, so both sides are joined on their words: a
+    label only meets aliases that share one with it, however many its type has. The registry is broadcast behind a check of
+    its size.
     """
-    met = analyzed(labels, label).filter("norm != ''").join(bounded_broadcast(alias_table(aliases), MAX_ALIASES), "doc_type")
-    # a score needs a word or the whole alias in common: the cheap test first, as a filter on the score would work it out twice
-    near = F.arrays_overlap("words", "a_words") | F.contains(F.col("norm"), F.col("a_norm")) | F.contains(F.col("core"), F.col("a_norm")) | F.contains(F.col("norm"), F.col("a_core")) | F.contains(F.col("core"), F.col("a_core"))
-    met = met.filter(near).withColumn("score", _score())
+    listed = alias_table(aliases).withColumn("token", F.explode(_tokens("a_norm", "a_core")))
+    asked = analyzed(labels, label).filter("norm != ''").withColumn("token", F.explode(_tokens("norm", "core")))
+    met = asked.join(bounded_broadcast(listed, MAX_ALIASES), ["doc_type", "token"])
+    met = met.withColumn("score", _score())
     best = met.groupBy("doc_type", label, "field_name").agg(F.expr("max_by(struct(a_norm, score, ordinal), struct(score, -ordinal)) filter (where score is not null)").alias("b")).filter("b is not null")
     best = best.select("doc_type", label, "field_name", F.col("b.a_norm").alias("alias"), F.col("b.score").alias("score"), F.col("b.ordinal").alias("ordinal"))
     w = Window.partitionBy("doc_type", label).orderBy(F.desc("score"), F.desc(F.length("alias")), "ordinal")

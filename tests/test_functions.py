@@ -57,3 +57,12 @@ def test_text(spark):
     assert value(spark, t.first_sentence(F.lit("One is 1.5 here. Two follows."))) == "One is 1.5 here."
     assert value(spark, t.keyword_signal(F.lit("debt schedule of loans"), F.array(F.lit("debt"), F.lit("loan"), F.lit("x")), 0.5, 0.2)) == pytest.approx(0.7)
     assert value(spark, t.source_key(F.lit("a"), F.lit(None).cast("string"), F.lit("b"))) == "a::::b"
+
+
+def test_shown_amounts_and_label_forms(spark):
+    from dealweave.functions.text import evidence_label, ignorable_label, plain_file_name, review_label, shown_amount, shown_percent
+
+    df = spark.createDataFrame([("A/R & Other_(net), 5%", -1234.4), ("Note 4", 0.0), (None, None)], "s string, x double")
+    c, x = F.col("s"), F.col("x")
+    got = [tuple(r) for r in df.select(review_label(c), evidence_label(c), plain_file_name(c), ignorable_label(c), shown_amount(x), shown_percent(x)).collect()]
+    assert got == [("a r and other net , 5%", "a r other net 5", "a/r & other (net), 5%", False, "-$1,234", "-1,234.4%"), ("note 4", "note 4", "note 4", True, "$0", "0.0%"), (None,) * 6]
