@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -159,20 +159,22 @@ class LeakFinder:
 
     def runs(self, seeds: list[tuple[int, int]], words: list[str], item: list[str]) -> list[tuple[int, int, int, int, bool]]:
         """``(t, k, length, same, anchored)``: stretches of the text that go along the item word by word, single changed words
-        in between included; they begin and end with equal words. In the order of the text."""
+        in between included, with two equal words at least from one to the next; they begin and end with equal words. In the
+        order of the text."""
         n, m = len(words), len(item)
         out, done = [], set()
         for t, k in seeds:
             if (t, k) in done:
                 continue
             d, ends = t - k, []
+            first, last = max(0, -d), min(m, n - d)  # places of the item that the text has
             for step, at in ((1, k), (-1, k)):
-                last = lambda i: not (0 <= i < m and 0 <= i + d < n)
+                row = 1 if step > 0 else 2  # equal words since the last changed one
                 while True:
-                    if not last(at + step) and item[at + step] == words[at + step + d]:
-                        at += step
-                    elif not last(at + 2 * step) and item[at + 2 * step] == words[at + 2 * step + d]:
-                        at += 2 * step
+                    if first <= at + step < last and item[at + step] == words[at + step + d]:
+                        at, row = at + step, row + 1
+                    elif row > 1 and first <= at + 2 * step < last and item[at + 2 * step] == words[at + 2 * step + d]:
+                        at, row = at + 2 * step, 1
                     else:
                         break
                 ends.append(at)
@@ -217,6 +219,19 @@ class LeakFinder:
                 best = found
         return best
 
+    def _may_reach(self, seeds: list[tuple[int, int]], n: int, need: int) -> bool:
+        """Whether the seeds of an item can come to so many words. A seed brings its own words and a single changed one, a run
+        two more at its ends; runs that are chained have seeds in a row, and what stands between them is bounded."""
+        size = len(seeds)
+        if size * (n + 1) + max(4, (size // 2) * (4 + self.rule.item_gap)) < need:
+            return False
+        along = Counter(t - k for t, k in seeds)
+        if max(along.values()) * (n + 1) + 4 >= need:
+            return True
+        held = set(seeds)
+        rows = sum((t + 1, k + 1) in held or (t - 1, k - 1) in held for t, k in seeds)
+        return rows * (n + 1) + (rows // 2) * (4 + self.rule.item_gap) >= need
+
     def find(self, text: str, floor: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
         """``(item, words, covered, span, first, last)`` of every item that leaks into ``text``, first and last in words."""
         out = []
@@ -224,8 +239,7 @@ class LeakFinder:
         for item, seeds in self.seeds(words).items():
             need = self.need[item] if floor is None else floor
             n = min(SEED_WORDS, len(self.words[item]))
-            # a seed brings its own words, a single changed one and what stands before the next run, and no more
-            if len(seeds) * (n + 1 + self.rule.item_gap) < need:
+            if not self._may_reach(seeds, n, need):
                 continue
             runs = self.runs(seeds, words, self.words[item])
             held, same, span, first, last, end = self.chains(runs, words, self.words[item])
