@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,9 +21,12 @@ class StaleRevision(Exception):
 class DecisionLog:
     """Decisions of many scopes (company and deal) in one folder of files; every save adds one file set.
 
-    The revision is checked and then written, without a lock: it finds a stale reader, not two writers at the same moment.
+    A writer claims its revision by creating a file that must not exist, which the file system does for one writer only: of
+    two that save at the same moment, the other finds the log stale. A claim whose writer died is void after ``CLAIM_SECONDS``.
     """
 
+    CLAIM_SECONDS = 3600
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -52,10 +58,27 @@ class DecisionLog:
         new = new.filter(F.when(F.col("deleted"), F.col("old").isNotNull()).otherwise(~F.col("old").eqNullSafe(F.col("payload"))))
         if new.isEmpty():
             return now
+        claim = self._claim(scope, now + 1)
         out = new.select(F.lit(scope).alias("scope"), F.lit(now + 1).cast("bigint").alias("revision"), "collection", "key", "payload", "deleted", F.current_timestamp().alias("saved_at"))
-        out.write.mode("append").parquet(self.path)
+        try:
+            out.write.mode("append").parquet(self.path)
+        except Exception:
+            claim[0].delete(claim[1], False)
+            raise
         return now + 1
 
+    def _claim(self, scope: str, revision: int) -> tuple:
+        """Creates the claim of a revision; returns its file system and path."""
+        sc = self.spark.sparkContext
+        name = hashlib.sha256(scope.encode()).hexdigest()[:24]
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{name}-{revision}")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > self.CLAIM_SECONDS:
+            fs.delete(path, False)
+        if not fs.createNewFile(path):
+            raise StaleRevision(f"{scope} is being saved as revision {revision} by another writer")
+        return fs, path
+
     def history(self, limit: int = 40) -> DataFrame:
         """``scope, revision, saved, removed``: what each of the last revisions changed."""
         h = self.events().groupBy("scope", "revision").agg(F.count_if(~F.col("deleted")).alias("saved"), F.count_if("deleted").alias("removed"))

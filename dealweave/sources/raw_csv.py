@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import top_k
+
 CELLS = "path string, sheet_name string, sheet_index int, row_no int, col_no int, value string"
 
 
@@ -61,6 +63,12 @@ def csv_cells(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFra
 
 
 def document_text(cells: DataFrame, limit: int = 4000) -> DataFrame:
-    """``path, text``: sheet names and cells of a file in order, cut to ``limit`` characters as a preview."""
-    ordered = F.array_sort(F.collect_list(F.struct("sheet_index", "row_no", "col_no", F.coalesce("value", F.lit("")).alias("v"))))
-    return cells.groupBy("path").agg(F.substring(F.concat_ws(" ", F.min("sheet_name"), F.array_join(F.filter(F.transform(ordered, lambda x: x["v"]), lambda v: v != ""), " ")), 1, limit).alias("text"))
+    """``path, text``: sheet names and cells of a file in order, cut to ``limit`` characters as a preview.
+
+    A cell brings a character and a space at least, so the first ``limit / 2`` filled cells of a file are enough; Spark keeps
+    no more of a file before the shuffle.
+    """
+    first = top_k(cells.filter("value != ''"), ["path"], [F.asc("sheet_index"), F.asc("row_no"), F.asc("col_no")], limit // 2 + 1, "__place")
+    text = first.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", "value"))), lambda x: x["value"]), " ").alias("t"))
+    names = cells.groupBy("path").agg(F.min("sheet_name").alias("name"))
+    return names.join(text, "path", "left").select("path", F.substring(F.concat_ws(" ", "name", "t"), 1, limit).alias("text"))

@@ -79,3 +79,14 @@ def test_synthetic_rows_repeat(spark):
     a, b = (synthetic_statements(spark, 20, seed=s) for s in (1, 1))
     assert a.count() == 60 and as_set(a) == as_set(b) and as_set(a) != as_set(synthetic_statements(spark, 20, seed=2))
     assert a.filter("cogs >= revenue or ebitda <= 0").count() == 0
+
+
+def test_two_writers_of_one_revision(spark, tmp_path):
+    change = spark.createDataFrame([("alias", "k", "v", False)], "collection string, key string, payload string, deleted boolean")
+    log = DecisionLog(spark, str(tmp_path / "log"))
+    fs, claim = log._claim("acme", 1)  # another writer is at it
+    with pytest.raises(StaleRevision):
+        log.save("acme", change, 0)
+    assert log.save("other", change, 0) == 1
+    fs.delete(claim, False)
+    assert log.save("acme", change, 0) == 1
