@@ -123,15 +123,6 @@ def main_script(text: str) -> str:
     return max(counts, key=lambda s: (counts[s], s == "LATIN", s))
 
 
-def clean_words(text: str) -> set[str]:
-    """Words of a folded text all of whose letters are of the text's main script."""
-    words = set(TOKEN.findall(text))
-    if text.isascii():
-        return words
-    main = main_script(text)
-    return {w for w in words if (w.isascii() and main == "LATIN") or all(s in ("", main) for s in map(script, w))}
-
-
 def _key(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 

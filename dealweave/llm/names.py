@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import product
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame

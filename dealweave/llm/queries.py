@@ -11,7 +11,7 @@ from ..session import bounded_broadcast, bounded_collect, checkpointed, table
 from .canonical import AFTER, ALIASES, BEFORE, LINK_WORDS, label_paths, map_labels
 from .leakage import leaked_items
 from .lookalikes import FOLD, TO_LATIN, one_form, same_look_classes, same_look_pairs
-from .mixing import SourceTarget, mix, shares_reached
+from .mixing import TOKENIZER, SourceTarget, mix, shares_reached
 from .names import link_names, variant_pairs
 from .representative import Bundle, Dependency, best_records, spelling_key
 
@@ -185,8 +185,9 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> list[SourceTarget]:
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the mixture with their copies."""
-    return mix(table(spark, sf_dir, "documents"), mix_targets(spark, sf_dir), id_col="doc_id", source_col="source", text_col="text")
+    """Documents of the mixture with their copies; ``spark.dealweave.tokenizer`` may name another vocabulary file."""
+    tokenizer = spark.conf.get("spark.dealweave.tokenizer", TOKENIZER)
+    return mix(table(spark, sf_dir, "documents"), mix_targets(spark, sf_dir), id_col="doc_id", source_col="source", text_col="text", tokenizer=tokenizer)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
